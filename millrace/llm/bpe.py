@@ -36,7 +36,7 @@ def byte_letters() -> dict[str, int]:
 class ByteBpe:
     """A tokenizer file's vocabulary, merges and added tokens."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()

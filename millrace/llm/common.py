@@ -14,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches: a batch of very long texts must fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,13 +36,21 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about most_bytes (a longer row is a slice of its own), so that a task's Python objects stay small."""
+    for batch in batches:
+        step = max(1, int(most_bytes * batch.num_rows / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """mapInArrow where make() runs once in each task and gives the function from batch to batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+        for batch in parts_of(batches):
+            if (out := step(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

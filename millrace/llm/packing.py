@@ -13,15 +13,17 @@ their own; an empty table gives no rows; other columns of the input are ignored,
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import pairwise
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import texts
+from millrace.llm.bpe import byte_letters
+from millrace.llm.common import parts_of, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -29,11 +31,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class ChunkTokens:
     """Ids of texts by a tokenizers file whose pre-tokenizer drops white space and whose normalizer lower-cases.
 
-    White-space-free chunks are coded once and kept in a bounded table. New chunks made of letters, with or without
-    points and commas at the end, are coded together as one text of many words, the others one by one.
+    White-space-free chunks are coded once and kept in a bounded table. Of new chunks, those made of letters, with or
+    without points and commas at the end, go to the library's model as words, the others to its whole tokenizer.
     """
 
-    def __init__(self, path: str, eos: int | None, limit: int = 600_000):
+    def __init__(self, path: str, eos: int | None, limit: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,6 +45,7 @@ class ChunkTokens:
         self.model.no_truncation()
         self.model.no_padding()
         self.eos = b"" if eos is None else np.uint32(eos).tobytes()
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.limit = limit
         self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
@@ -62,20 +65,17 @@ class ChunkTokens:
                 parts[chunk] = bare.lower(), chunk[len(bare) :]
             else:
                 single.append(chunk)
-        new = list({w for w, _ in parts.values()}.difference(self.words))
-        if new:
-            coded = self.model.encode(" ".join(new), add_special_tokens=False)
-            ids, at = np.array(coded.ids, np.uint32), np.array(coded.word_ids)
-            cuts, raw = [0, *((np.flatnonzero(np.diff(at)) + 1) * 4).tolist(), len(ids) * 4], ids.tobytes()
-            if len(cuts) == len(new) + 1:
-                self.words.update(zip(new, (raw[a:b] for a, b in pairwise(cuts)), strict=True))
-            else:  # a letter of a newer Unicode version than the tokenizer's
-                self.words.update((w, self.alone([w])[0]) for w in new)
+        self.words.update((w, self.word(w)) for w in {w for w, _ in parts.values()}.difference(self.words))
         ends = list({e for _, e in parts.values() if e}.difference(self.known))
         self.known.update(zip(ends, self.alone(ends), strict=True))
         self.known.update((c, self.words[w] + self.known[e]) for c, (w, e) in parts.items())
         self.known.update(zip(single, self.alone(single), strict=True))
 
+    def word(self, word: str) -> bytes:
+        """Ids of one lower-case word of letters: one pre-token, whose bytes' letters go to the model."""
+        letters = word if word.isascii() else normalize("NFC", word).encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.model.tokenize(letters)]).tobytes()
+
     def alone(self, chunks: list[str]) -> list[bytes]:
         return [np.array(c.ids, np.uint32).tobytes() for c in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, tokens: Callable[[], Callable[[list[str]], Iterable[np
             names = [c.split()[0] for c in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        for batch in batches:
+        for batch in parts_of(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts(batch.column(1))), strict=True):
                 ids = ids.astype("<u4", copy=False)
                 whole = len(ids) // capacity * capacity
