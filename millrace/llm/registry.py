@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, langid, media, packing, quality, warc, webtext
+from millrace.llm import bpe, langid, media, packing, pii, quality, warc, webtext
 from millrace.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), lambda: packing.ChunkTokens(path, eos=1), capacity=2048)
 
 
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webtext.extract(read(spark, sf_dir, "pages"))
