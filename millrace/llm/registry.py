@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, langid, media, packing, pii, quality, warc, webtext
+from millrace.llm import bpe, langid, media, ngramjoin, packing, pii, quality, warc, webtext
 from millrace.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+@query
+def op1_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(read(spark, sf_dir, "documents")))
