@@ -147,8 +147,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return Model(languages, idf, w.astype(np.float32), t)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of keep with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of keep with two more, by default lang_pred and score."""
     keep = keep or [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^15 weights: a bound of its own
 
@@ -158,12 +158,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             said = [model.predict(t) for t in texts(batch.column(0))]
             cols = [pa.array([s for s, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())]
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*keep, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*keep, *names])
 
         return step
 
     kinds = dict(docs.dtypes)
-    return map_rows(docs.select(text, *keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"]), make)
+    return map_rows(docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in keep]), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string, `{names[1]}` double"]), make)
 
 
 def held_out(key: str = "doc_id") -> Column:

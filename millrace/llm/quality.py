@@ -136,8 +136,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 12, rate
     return w
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", per_side: int = 1500, keep: list[str] | None = None) -> DataFrame:
-    """The columns of keep (key by default) with votes, posterior (of the labellers) and quality (0 to 1, of the scorer)."""
+def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", per_side: int = 1500, keep: list[str] | None = None, names: tuple[str, str, str] = ("votes", "posterior", "quality")) -> DataFrame:
+    """The columns of keep (key by default) with three more, by default votes, posterior (of the labellers) and quality (0 to 1, of the scorer)."""
     keep = keep or [key]
 
     def count():
@@ -188,12 +188,12 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", per_side: in
                 z = float(v @ w[at] + w[BUCKETS])
                 out.append((code, post.get(code, 0.5), 1 / (1 + float(np.exp(-np.clip(z, -30, 30)))) if any(map(str.isalnum, t)) else 0.0))
             code, p, q = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(code, pa.int32()), pa.array(p, pa.float64()), pa.array(q, pa.float64())], [*keep, "votes", "posterior", "quality"])
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(code, pa.int32()), pa.array(p, pa.float64()), pa.array(q, pa.float64())], [*keep, *names])
 
         return step
 
     kinds = dict(docs.dtypes)
-    return map_rows(docs.select(text, *keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "votes int, posterior double, quality double"]), score)
+    return map_rows(docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in keep]), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` int, `{names[1]}` double, `{names[2]}` double"]), score)
 
 
 def classify(docs: DataFrame, least: float = 0.6) -> DataFrame:
