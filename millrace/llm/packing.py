@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from string import punctuation
 from unicodedata import normalize
 
 import numpy as np
@@ -32,10 +33,10 @@ class ChunkTokens:
     """Ids of texts by a tokenizers file whose pre-tokenizer drops white space and whose normalizer lower-cases.
 
     White-space-free chunks are coded once and kept in a bounded table. Of new chunks, those made of letters, with or
-    without points and commas at the end, go to the library's model as words, the others to its whole tokenizer.
+    without punctuation at the end, go to the library's model as words, the others to its whole tokenizer.
     """
 
-    def __init__(self, path: str, eos: int | None, limit: int = 300_000):
+    def __init__(self, path: str, eos: int | None, limit: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,7 +61,7 @@ class ChunkTokens:
         parts: dict[str, tuple[str, str]] = {}
         single = []
         for chunk in chunks - {""}:
-            bare = chunk.rstrip(".,")
+            bare = chunk.rstrip(punctuation)
             if bare.isalpha() and "\u0130" not in bare and "\u03a3" not in bare:
                 parts[chunk] = bare.lower(), chunk[len(bare) :]
             else:
