@@ -1 +1 @@
-"""streaming."""
+"""The same nodes on Structured Streaming."""
