@@ -132,3 +132,16 @@ def upsert(df: DataFrame, target: Sequence[str], seq: str, update: bool = True)
     """What a table with a conflict target holds after all rows: the last of each target (DO UPDATE) or the first (DO NOTHING)."""
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.groupBy(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(target)]).agg((F.max_by if update else F.min_by)(row, F.col(seq)).alias("__row")).select("__row.*")
+
+
+def lives(df: DataFrame, branch: Sequence[str], time: str, seq: str, ttl_seconds: float, number: str = "life") -> DataFrame:
+    """Branch time to live: a branch that was idle for longer starts anew. number counts its lives from 0; state is kept by branch and life."""
+    w = Window.partitionBy(*branch).orderBy(time, seq)
+    idle = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
+    fresh = F.coalesce((idle > int(ttl_seconds * 1_000_000)).cast("int"), F.lit(0))
+    return df.withColumn("__fresh", fresh).withColumn(number, F.sum("__fresh").over(w)).drop("__fresh")
+
+
+def most_recent(state: DataFrame, time: str, seq: str, instances: int) -> DataFrame:
+    """MAX INSTANCES … EVICT LRU: the branches used last. A top-k, so each task sends no more rows than that."""
+    return state.orderBy(F.desc(time), F.desc(seq)).limit(instances)

@@ -440,3 +440,23 @@ def guest_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
             return iter(())
 
     return stateful.guest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], Total, "event_id long, user_id long, running long")
+
+
+@query("""SELECT event_id, user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS life FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events)""")
+def branch_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.lives(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", 12 * 3600).select("event_id", "user_id", "life")
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id ORDER BY max(ts) DESC LIMIT 20")
+def branch_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = nodes.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "ts", "event_id")
+    return nodes.most_recent(state, "ts", "event_id", 20).select("user_id", "event_id")
+
+
+@query("""SELECT o_orderkey AS "key", o_orderstatus || ':' || o_totalprice::VARCHAR IS NOT NULL AS there, CASE WHEN o_totalprice > 100000 THEN 'large' END AS size_class FROM orders""")
+def emitter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VALUES: an independent mapping of output columns."""
+    orders = table(spark, sf_dir, "orders")
+    m = of_table(orders)
+    text = call("concat", m["o_orderstatus"], s(":"), cast(m["o_totalprice"], "STRING"))
+    return computed(orders, **{"key": m["o_orderkey"], "there": ~call("is_null", text), "size_class": case((m["o_totalprice"] > lit(100000.0), s("large")))})
