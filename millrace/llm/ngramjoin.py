@@ -7,14 +7,15 @@ before their sets are compared. A positional filter bounds the overlap that a sh
 
 Equal sets form a class and are compared once. A list of classes that share a shingle isn't paired with itself at once:
 
-1. Every class of a list is compared to the list's hub only. Classes that link to a hub form its star, and each
+1. Every class of a list is compared to the list's hub only, the class that shares most of its prefix with others. Classes that link to a hub form its star, and each
    member's distance to the hub is known.
 2. Lists are reduced to their stars' hubs, which are paired and compared.
 3. Jaccard distance is a metric. Where hubs are further apart than the members' distances can make up for, no members
-   can link; members of the remaining pairs of stars that aren't connected yet are compared, each pair bounded the same way.
+   can link; members of the remaining pairs of stars that aren't connected yet are compared where they share a shingle
+   in the index and the same bound allows it.
 
 So no link between different sets is lost, and large groups of near copies cost about as many comparisons as members.
-Sets are compared as 64-bit hashes of shingles; classes by a 64-bit hash of the set along with its size.
+Shingles are 64-bit hashes, of which 48 bits are compared; classes are 64-bit hashes of their sets.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of fewer words than a shingle are one
 shingle; rows that repeat a doc_id are documents of that id each; a null doc_id is never a component's id unless alone.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.llm.common import parts_of, stored, texts
+from millrace.llm.common import parts_of, stored
 
 U = np.uint64
 SEED = np.random.default_rng(20240607)
@@ -39,6 +41,7 @@ BYTES = SEED.integers(1, 1 << 64, 256, dtype=U)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 BYTES[BLANK] = 0
+BYTES[65:91] = BYTES[97:123]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LONGEST = 4096
@@ -57,38 +60,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(text: str, at_once: int = 1 << 20) -> np.ndarray:
-    """A hash of each word, A-Z lower-cased."""
-    raw = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    edge = np.diff(np.concatenate([[True], BLANK[raw], [True]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def word_hashes(raw: np.ndarray, begins: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of texts that lie one after another in raw and begin at begins, A-Z lower-cased; and the words' starts."""
+    word = ~BLANK[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[begins] = word[begins]
+    starts = np.flatnonzero(first)
     out = np.empty(len(starts), U)
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + at_once)))
-        lo, hi = starts[first], ends[last - 1]
-        own = starts[first:last] - lo
-        place = np.arange(hi - lo) - np.repeat(own, np.diff(np.append(own, hi - lo)))
-        out[first:last] = np.add.reduceat(BYTES[raw[lo:hi]] * POWERS[np.minimum(place, LONGEST - 1)], own)
-        first = last
-    size = ends - starts
+    size = np.add.reduceat(word, starts, dtype=np.int64) if len(starts) else starts
+    at = 0
+    while at < len(starts):
+        last = max(at + 1, int(np.searchsorted(starts, starts[at] + at_once)))
+        lo, hi = starts[at], starts[last] if last < len(starts) else len(raw)
+        own = (starts[at:last] - lo).astype(np.int32)
+        place = np.arange(hi - lo, dtype=np.int32) - np.repeat(own, np.diff(np.append(own, hi - lo)))
+        out[at:last] = np.add.reduceat(BYTES[raw[lo:hi]] * POWERS[np.minimum(place, LONGEST - 1)], own)
+        at = last
     for k in np.flatnonzero(size > LONGEST):
-        out[k] = int.from_bytes(blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "big")
-    return mix(out + size.astype(U) * U(0xA24BAED4963EE407))
+        out[k] = int.from_bytes(blake2b(LOWER[raw[starts[k] : starts[k] + size[k]]].tobytes(), digest_size=8).digest(), "big")
+    return mix(out + size.astype(U) * U(0xA24BAED4963EE407)), starts
+
+
+def shingles(column: pa.Array, words: int = 5) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text of a column, as 64-bit hashes."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if not len(raw):
+        return [np.empty(0, U)] * len(column)
+    w, starts = word_hashes(raw, ends[:-1][ends[:-1] < len(raw)])
+    bounds = np.searchsorted(starts, ends)
+    total = np.zeros(max(0, len(w) - words + 1), U)
+    for k in range(words if len(total) else 0):
+        total += w[k : len(w) - words + 1 + k] * PLACES[k]
+    total = mix(total)
+    out = []
+    for a, b in pairwise(bounds.tolist()):
+        if b - a >= words:
+            s = np.sort(total[a : b - words + 1])
+            fresh = np.empty(len(s), bool)
+            fresh[0] = True
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            out.append(s[fresh])
+        else:
+            out.append(mix(np.array([(w[a:b] * PLACES[: b - a]).sum() + U(b - a)], U)) if b > a else np.empty(0, U))
+    return out
 
 
-def shingles(text: str, words: int = 5) -> np.ndarray:
-    """The sorted distinct shingles of a text, as 64-bit hashes."""
-    w = word_hashes(text)
-    n = len(w)
-    if not n:
-        return w
-    if n < words:
-        return mix(np.array([(w * PLACES[:n]).sum() + U(n)], U))
-    total = w[: n - words + 1] * PLACES[0]
-    for k in range(1, words):
-        total += w[k : n - words + 1 + k] * PLACES[k]
-    return np.unique(mix(total))
+def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column of 64-bit integers."""
+    ends = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -113,14 +140,9 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
         names = ["doc_id", "n", "cls", "block", "counts"]
         seen = np.zeros(SKETCH, np.uint32)
         for batch in parts_of(batches):
-            sizes, classes, found = [], [], []
-            for t in texts(batch.column(1)):
-                s = shingles(t, words)
-                sizes.append(len(s))
-                classes.append(class_of(s))
-                found.append((s & U(SKETCH - 1)).astype(np.int64))
-            at, n = np.unique(np.concatenate(found), return_counts=True)
-            seen[at] += n.astype(np.uint32)
+            found = shingles(batch.column(1), words)
+            sizes, classes = [len(f) for f in found], [class_of(f) for f in found]
+            np.add.at(seen, (np.concatenate(found) & U(SKETCH - 1)).astype(np.int64), 1)
             nothing = [pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *nothing], names)
         for block in range(0, SKETCH // BLOCK, 64):
@@ -157,8 +179,7 @@ def classes(docs: DataFrame, columns: str, values, words: int) -> DataFrame:
         done: set[int] = set()
         for batch in parts_of(batches):
             rows = []
-            for t in texts(batch.column(0)):
-                s = shingles(t, words)
+            for s in shingles(batch.column(0), words):
                 if not len(s) or (cls := class_of(s)) in done:
                     continue
                 if len(done) > 200_000:
@@ -167,7 +188,7 @@ def classes(docs: DataFrame, columns: str, values, words: int) -> DataFrame:
                 if (row := values(s, cls)) is not None:
                     rows.append((cls, len(s), *row))
             if rows:
-                cols = [pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) if isinstance(c[0], np.ndarray) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                cols = [lists_of(c) if isinstance(c[0], np.ndarray) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select("text").mapInArrow(run, columns)
@@ -177,19 +198,56 @@ def similar(inter: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return den * inter >= num * (n + m - inter)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, filters: int, exact: Column | None = None) -> DataFrame:
-    """Pairs (a, b, ...) that share a prefix shingle under each further order, with sizes na, nb and their overlap. Pairs for
-    which exact holds skip the filters: their distance is needed, similar or not."""
-    heads = [f"p{k}" for k in range(1, filters + 1)]
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *[F.col(h).alias(f"{h}{x}") for h in heads])
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    passed: Column = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    for h in heads:
-        passed = passed & F.arrays_overlap(f"{h}a", f"{h}b")
-    rows = rows.filter(passed if exact is None else passed | exact).drop(*[f"{h}{x}" for h in heads for x in "ab"])
-    full = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"t{x}"))
-    rows = rows.join(full("a"), "a").join(full("b"), "b")
-    return rows.withColumn("inter", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
+TOKEN_BYTES = 6
+
+
+def packed_tokens(found: np.ndarray) -> bytes:
+    """The high 48 bits of each shingle, in order: two sets of thousands agree by chance in one of a hundred million comparisons at most."""
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def tokens_of(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.reshape(-1).view(">u8").astype(U)
+
+
+def prefix_bits(found: np.ndarray, heads: list[np.ndarray]) -> bytes:
+    """For each further order, a bit for each shingle that is in its prefix."""
+    return b"".join(np.packbits(np.isin(found, h, assume_unique=True)).tobytes() for h in heads)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, filters: int, always: str | None = None) -> DataFrame:
+    """The pairs (a, b and more columns) that share a prefix shingle under each further order, with na, nb and the overlap inter. Where the
+    column always is true the filters are skipped: the distance is needed, similar or not."""
+    names = pairs.columns
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("bits").alias(f"m{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "na", "nb", "ta", "tb", "ma", "mb")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, ta, tb, ma, mb = (batch.column(len(names) + k).to_pylist() for k in range(6))
+            whole = batch.column(names.index(always)).to_pylist() if always else [False] * batch.num_rows
+            keep, inter = [], []
+            for k in range(batch.num_rows):
+                x, y = tokens_of(ta[k]), tokens_of(tb[k])
+                common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                if whole[k] or all(prefixes_meet(ma[k], mb[k], len(x), len(y), i, j, order, filters) for order in range(filters)):
+                    keep.append(k)
+                    inter.append(len(common))
+            if keep:
+                kept = batch.select(range(len(names) + 2)).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(inter, pa.int64())], [*names, "na", "nb", "inter"])
+
+    kinds = dict(pairs.dtypes)
+    return rows.mapInArrow(count, ", ".join([*(f"{c} {kinds[c]}" for c in names), "na long, nb long, inter long"]))
+
+
+def prefixes_meet(a: bytes, b: bytes, n: int, m: int, i: np.ndarray, j: np.ndarray, order: int, filters: int) -> bool:
+    """Whether two sets share a shingle of both their prefixes under an order; i and j are the common shingles' places."""
+    x = np.frombuffer(a, np.uint8)[order * len(a) // filters : (order + 1) * len(a) // filters]
+    y = np.frombuffer(b, np.uint8)[order * len(b) // filters : (order + 1) * len(b) // filters]
+    return bool((np.unpackbits(x, count=n)[i] & np.unpackbits(y, count=m)[j]).any())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,15 +269,54 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
 
 
-def links(docs: DataFrame, lvl: np.ndarray, words: int, num: int, den: int, orders: int) -> DataFrame:
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, owners: DataFrame, lvl, words: int, num: int, den: int, orders: int) -> DataFrame:
+    """The sets of the wanted classes (cls, n, tokens, bits), made anew from the text of one document of each: its owner. A bit map of
+    fixed size passes over nearly all other documents."""
+    key = (F.pmod("cls", F.lit(MAP_BITS)) + F.pmod(F.coalesce("owner", F.lit(-1)), F.lit(MAP_BITS))) % MAP_BITS + 1  # Spark's bitmaps begin at 1
+    held = wanted.join(owners, "cls").select(key.alias("key"))
+    cells = held.groupBy(F.bitmap_bucket_number("key").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits")).collect()
+    columns = "cls long, n long, tokens binary, bits binary"
+    if not cells:
+        return docs.sparkSession.createDataFrame([], columns)
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for row in cells:
+        bits[(row.cell - 1) * 4096 : row.cell * 4096] = np.frombuffer(row.bits, np.uint8)
+    shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            rows = []
+            for owner, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), words), strict=True):
+                cls = class_of(s)
+                at = (cls % MAP_BITS + (-1 if owner is None else owner) % MAP_BITS) % MAP_BITS
+                if len(s) and shared_bits.value[at >> 3] >> (at & 7) & 1:
+                    rows.append((cls, len(s), packed_tokens(s), prefix_bits(s, [prefix(s, lvl.value, k, num, den) for k in range(1, orders)])))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["cls", "n", "tokens", "bits"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, columns)
+
+
+def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, words: int, num: int, den: int, orders: int) -> DataFrame:
     """Links (a, b) between classes; classes connected by all similar pairs are connected by these."""
     shared_levels = docs.sparkSession.sparkContext.broadcast(lvl)  # SKETCH bytes
     index = classes(docs, "cls long, n long, tokens array<long>", lambda s, _: (prefix(s, shared_levels.value, 0, num, den),), words)
-    postings = index.select("cls", "n", F.posexplode("tokens").alias("pos", "tok")).select("tok", "cls", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("pos")).cast("int").alias("rest"))
-    # rest: the shingles from this one on, which bounds the overlap if it is the first common one
+    # rest: the shingles from this one on, which bounds the overlap if it is the first common one; packed with the size to move less
+    postings = index.select("cls", "n", F.posexplode("tokens").alias("pos", "tok")).select("tok", "cls", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("at"))
     w = Window.partitionBy("tok")
-    lists = postings.select("*", F.min(F.struct("cls", "n", "rest")).over(w).alias("hub"), F.max("cls").over(w).alias("last"))
-    lists = stored(lists.filter(F.col("hub.cls") != F.col("last")).drop("last"), "lists")
+    shared = postings.select("*", F.min("cls").over(w).alias("one"), F.max("cls").over(w).alias("last")).filter("one <> last")
+    shared = shared.dropDuplicates(["tok", "cls"]).withColumn("size", F.count(F.lit(1)).over(w))  # copies in several tasks count once; the rows stay where they are
+    size, rest = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int")
+    shared = stored(shared.select("tok", "cls", size.alias("n"), rest.alias("rest"), "size"), "shared")
+    # the more of its prefix a class shares, and with the more others, the more central it is among near copies: it makes the better hub
+    central = shared.groupBy("cls").agg((F.sum("size") / (F.first("n") + 1)).alias("weight"))
+    hub = F.max(F.struct("weight", "cls", "n", "rest")).over(w).alias("hub")
+    lists = stored(shared.join(stored(central, "central"), "cls").select("tok", "cls", "n", "rest", hub), "lists")
 
     def may(n: str, m: str, r: str, s: str) -> Column:
         """Whether places and sizes allow an overlap of num/(num + den) of both sizes together."""
@@ -227,24 +324,8 @@ def links(docs: DataFrame, lvl: np.ndarray, words: int, num: int, den: int, orde
 
     # 1. stars
     stars = stored(lists.filter((F.col("cls") != F.col("hub.cls")) & may("n", "hub.n", "rest", "hub.rest")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    active = lists.filter("tok IS NOT NULL").select("cls").distinct()
-    where = F.pmod("cls", F.lit(MAP_BITS)) + 1  # Spark's bitmaps begin at 1
-    cells = active.groupBy(F.bitmap_bucket_number(where).alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(where)).alias("bits")).collect()
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in cells:
-        bits[(row.cell - 1) * 4096 : row.cell * 4096] = np.frombuffer(row.bits, np.uint8)
-    shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def full(s: np.ndarray, cls: int) -> tuple | None:
-        at = cls % MAP_BITS
-        if not shared_bits.value[at >> 3] >> (at & 7) & 1:
-            return None
-        return (s, *(prefix(s, shared_levels.value, k, num, den) for k in range(1, orders)))
-
-    heads = "".join(f", p{k} array<long>" for k in range(1, orders))
-    sets = stored(classes(docs, f"cls long, n long, tokens array<long>{heads}", full, words).dropDuplicates(["cls"]), "sets", codec="lz4")
-
-    done = stored(compared(stars, sets, num, den, orders - 1), "compared")
+    get = lambda pairs: fetched(docs, ends_of(pairs), owners, shared_levels, words, num, den, orders)
+    done = stored(compared(stars, get(stars), num, den, orders - 1), "compared")
     linked = done.filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den))
     distance = 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     roots = linked.select(F.col("a")).distinct().join(linked.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
@@ -252,35 +333,40 @@ def links(docs: DataFrame, lvl: np.ndarray, words: int, num: int, den: int, orde
     member = stored(member.select("cls", "m.star", "m.r"), "members")
 
     # 2. pairs of stars
-    star = F.coalesce("star", "cls")
-    of = lists.join(member, "cls", "left").groupBy("tok", star.alias("star")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
+    placed = stored(lists.join(member, "cls", "left").select("tok", "cls", "n", "rest", F.coalesce("star", "cls").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r")), "placed")
+    of = placed.groupBy("tok", "star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
     of = stored(of.select("*", F.min("star").over(w).alias("one"), F.max("star").over(w).alias("last")).filter("one <> last").drop("one", "last"), "star-lists")
     x, y = (of.select("tok", *[F.col(c).alias(c + k) for c in ("star", "lo", "hi", "rest")]) for k in "ab")
     near = (F.least("resta", "restb") * (num + den) >= num * (F.col("loa") + F.col("lob"))) & (den * F.col("hib") >= num * F.col("loa")) & (den * F.col("hia") >= num * F.col("lob"))
-    radius = member.groupBy(F.col("star")).agg(F.max("r").alias("r"))
+    radius = member.groupBy("star").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("k"))
     pairs = x.join(y, (x.tok == y.tok) & (F.col("stara") < F.col("starb")) & near).select(F.col("stara").alias("a"), F.col("starb").alias("b")).distinct()
     for k in "ab":
-        pairs = pairs.join(radius.select(F.col("star").alias(k), F.col("r").alias(f"r{k}")), k, "left")
-    pairs = pairs.fillna(0.0, ["ra", "rb"]).withColumn("grown", F.col("ra") + F.col("rb") > 0)
-    hubs = stored(compared(stored(pairs, "star-pairs"), sets, num, den, orders - 1, exact=F.col("grown")).withColumn("d", distance), "star-compared")
+        pairs = pairs.join(radius.select(F.col("star").alias(k), F.col("r").alias(f"r{k}"), F.col("k").alias(f"k{k}")), k, "left")
+    pairs = pairs.fillna(0.0, ["ra", "rb"]).fillna(0, ["ka", "kb"]).withColumn("grown", F.col("ra") + F.col("rb") > 0)
+    pairs = stored(pairs, "star-pairs")
+    hubs = stored(compared(pairs, get(pairs), num, den, orders - 1, always="grown"), "star-compared").withColumn("d", distance)
     linked_hubs = hubs.filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
     found = linked.select("a", "b").union(linked_hubs)
 
     # 3. members of stars that aren't connected but may have linked members
     most = 1 - num / den + 1e-9
-    open_pairs = stored(hubs.filter(F.col("grown") & (F.col("d") > most - 2e-9) & (F.col("d") - F.col("ra") - F.col("rb") <= most)).select("a", "b", "d"), "open")
+    open_pairs = stored(hubs.filter(F.col("grown") & (F.col("d") > most - 2e-9) & (F.col("d") - F.col("ra") - F.col("rb") <= most)).select("a", "b", "d", "ka", "kb"), "open")
     if open_pairs.isEmpty():
         return found
     label = components(found)
     for k in "ab":
         open_pairs = open_pairs.join(label.select(F.col("v").alias(k), F.col("label").alias(f"l{k}")), k, "left")
-    open_pairs = open_pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "d")
-    all_of = member.union(member.select(F.col("star").alias("cls"), "star", F.lit(0.0).alias("r")).distinct()).select("star", "cls", "r")
-    for k in "ab":
-        one = all_of.select(F.col("star").alias(k), F.col("cls").alias(f"c{k}"), F.col("r").alias(f"r{k}"))
-        open_pairs = open_pairs.join(one, k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k)).fillna(0.0, [f"r{k}"])
-    inner = open_pairs.filter(F.col("d") - F.col("ra") - F.col("rb") <= most).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    last = compared(inner, sets, num, den, orders - 1).filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den))
+    apart = open_pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    # members of the smaller star by their shingles, then those of the larger one that share one where the places and the metric allow it
+    less, more = F.when(F.col("ka") <= F.col("kb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ka") <= F.col("kb"), F.col("b")).otherwise(F.col("a"))
+    small = apart.select(less.alias("star"), more.alias("big"), "d").join(placed, "star").select("tok", "big", "d", F.col("cls").alias("a"), "n", "rest", "r")
+    large = placed.select(F.col("tok").alias("tok2"), F.col("star").alias("star2"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("r").alias("r2"))
+    allowed = may("n", "m", "rest", "rest2") & (F.col("d") - F.col("r") - F.col("r2") <= most)
+    open_pairs = small.join(large, (F.col("tok") == F.col("tok2")) & (F.col("big") == F.col("star2")) & allowed)
+    inner = stored(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "inner-pairs")
+    if inner.isEmpty():
+        return found
+    last = compared(inner, get(inner), num, den, orders - 1).filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den))
     return found.union(stored(last.select("a", "b"), "inner"))
 
 
@@ -289,7 +375,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     scanned = stored(scan(docs, words), "scan")
     members = scanned.filter("block IS NULL").select("doc_id", "n", "cls")
     lvl = levels(scanned.filter("block IS NOT NULL").select("block", "counts"))
-    label = components(links(docs, lvl, words, num, den, orders))
+    owners = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("owner"))
+    label = components(links(docs, owners, lvl, words, num, den, orders))
     first = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
     named = first.join(label, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls")).drop("v")
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("size").alias("size"))
