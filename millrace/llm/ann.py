@@ -118,10 +118,11 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 10, ax
     counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
     starts, total = [], 0
     for p in sorted(counts):
-        starts += [F.lit(p), F.lit(total)]
+        starts.append((p, total))
         total += counts[p]
     # every curve holds every entry once, so that a rank over all of them gives the rank on the curve
-    ranks = placed.select("curve", "entry", (F.col("place") + F.create_map(*starts)[F.col("part")] - F.col("curve").cast("long") * n).alias("rank"))
+    offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))  # one row for each partition
+    ranks = placed.join(offsets, "part").select("curve", "entry", (F.col("place") + F.col("start") - F.col("curve").cast("long") * n).alias("rank"))
 
     window = max(least_window, int(n * share))
     asked = stored(queries.join(entries.select("embedding", "entry"), "embedding").select("query_id", "entry"), "ann-asked")
