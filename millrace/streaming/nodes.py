@@ -91,16 +91,13 @@ def emit(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     return out.trigger(processingTime=every) if every else out.trigger(availableNow=True)
 
 
-def merged(batch: DataFrame, path: str, target: Sequence[str], seq: str) -> None:
-    """Fold a micro-batch into a table of snapshots: a new version next to the old ones, the newest row of each target winning."""
-    spark = batch.sparkSession
-    rows = batch.withColumn("_version", F.lit(int(pd.Timestamp.now("UTC").value)))
-    rows.write.mode("append").partitionBy("_version").parquet(path)
-    spark.catalog.refreshByPath(path)
+def keep(batch: DataFrame, number: int, path: str) -> None:
+    """Write a micro-batch as a version of its own; a batch that is run again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
 
 def snapshot(spark: SparkSession, path: str, target: Sequence[str], seq: str) -> DataFrame:
-    """The state that merged() has kept."""
+    """The newest row of each target in what keep() has written."""
     versions = spark.read.parquet(path)
-    row = F.struct(*[F.col(c) for c in versions.columns if c != "_version"])
-    return versions.groupBy(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(target)]).agg(F.max_by(row, F.struct(seq, "_version")).alias("__row")).select("__row.*")
+    row = F.struct(*[F.col(c) for c in versions.columns if c != "version"])
+    return versions.groupBy(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(target)]).agg(F.max_by(row, F.struct(seq, "version")).alias("__row")).select("__row.*")

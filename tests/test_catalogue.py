@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against its SQL twin."""
+"""Every registered query with a SQL twin against it, and the others against small simulations."""
 
 import math
 import os

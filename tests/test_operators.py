@@ -154,3 +154,15 @@ def test_streamed_deduplication(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     assert sorted(got) == [0, 3, 5]
+
+
+def test_streamed_latest_state(spark, tmp_path):
+    streams.configure(spark)
+    rows = [("a", 1, 10), ("b", 2, 20), ("a", 3, 30), ("b", 4, 15)]
+    df = spark.createDataFrame([(b, s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)) for b, s, t in rows], "branch string, seq long, ts timestamp")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = streams.emit(streams.latest(stream, ["branch"], "ts", "seq"), lambda b, n: streams.keep(b, n, str(tmp_path / "out")), str(tmp_path / "check"), mode="update").start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert sorted((r.branch, r.seq) for r in streams.snapshot(spark, str(tmp_path / "out"), ["branch"], "seq").collect()) == [("a", 3), ("b", 2)]
