@@ -1,8 +1,8 @@
 """Surrogates for personal data and secrets: keyed, of the same type and format, distinct where the originals are, and the same wherever one recurs.
 
 Found are e-mail addresses, IP addresses, card numbers, phone numbers, social security numbers, IBANs, MAC addresses,
-secrets (access keys, tokens, passwords after their names, long hexadecimal strings) and persons after a title. A
-surrogate follows from a key and the entity by a keyed hash: punctuation and lengths stay, digits become digits and
+secrets (access keys, tokens and passwords of four characters or more after their names, hexadecimal strings of 32 or
+more, both of any length) and persons after a title. A surrogate follows from a key and the entity by a keyed hash: punctuation and lengths stay, digits become digits and
 letters letters of the same case; card numbers keep whether their check digit is right, persons keep gender and script.
 
 Distinctness is checked over the whole table in Spark: where two entities got one surrogate, or a surrogate is itself
@@ -55,7 +55,7 @@ def titled(script: str, name: str) -> str:
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|(?=[a-f]*\d)[0-9a-f]{32,128})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|(?=[a-f]*\d)[0-9a-f]{32,})(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{BYTE}\.){{3}}{BYTE}(?!\d|\.\d)",
@@ -65,7 +65,7 @@ PATTERNS = {
     "person": f"{titled('latin', NAME)}|{titled('cyrillic', CYRILLIC)}",
 }
 #: What follows the name of a secret; only the last group is the secret.
-NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)(?:[_-]?(?:key|id))?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{8,128})")
+NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)(?:[_-]?(?:key|id))?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{4,})")
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Every text with an entity holds one of these characters or strings.
 MARKS, STRINGS = "[0-9@=:]", ("Mr", "Ms", "Miss", "Frau", "Mme", "Madame", "Señor", "Sra.", "Sr.", "Herr", "Monsieur", "г-", "осп", "AKIA", "ASIA", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
@@ -83,11 +83,13 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order and apart from each other."""
     found = [(m.start(1), m.end(1), "secret") for m in NAMED.finditer(text)] if "=" in text or ":" in text else []
     found += [(m.start(), m.end(), m.lastgroup) for m in ANY.finditer(text)]
-    found.sort()
+    found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in found:
         if not out or a >= out[-1][1]:
             out.append((a, b, kind))
+        elif b > out[-1][1]:  # no end of an overlapping entity may stay
+            out[-1] = (out[-1][0], b, "secret")
     return out
 
 

@@ -378,6 +378,17 @@ def test_surrogates_keep_form_and_stay_distinct(spark):
     assert len({r.surrogate for r in rows}) == 800 and not {r.surrogate for r in rows} & {r.value for r in rows}
 
 
+def test_secrets_of_any_length(spark):
+    token, digits = "eyJ" + "aB3.x_" * 50, "0123456789abcdef" * 12 + "01234567"
+    values = {0: ("token=", token, ""), 1: ("sum ", digits, " end"), 2: ("password=", "hunter2", "\n"), 3: ("auth: ", "4111 1111 1111 1111", " paid"), 4: ("token=", "555-123-4567!tail", "")}
+    df = spark.createDataFrame([(k, "".join(v)) for k, v in values.items()], "doc_id long, text string")
+    for r in pii.redact(df).collect():
+        before, secret, after = values[r.doc_id]
+        now = r.text[len(before) : len(r.text) - len(after)]
+        assert r.n_entities == 1 and r.text == before + now + after and len(now) == len(secret) and now != secret, r
+    assert pii.spans("token=" + token) == [(6, 6 + len(token), "secret")] and pii.spans(digits) == [(0, 200, "secret")]
+
+
 # ---- 10
 
 
