@@ -5,6 +5,11 @@ secrets (access keys, tokens and passwords of four characters or more after thei
 more, both of any length) and persons after a title. A surrogate follows from a key and the entity by a keyed hash: punctuation and lengths stay, digits become digits and
 letters letters of the same case; card numbers keep whether their check digit is right, persons keep gender and script.
 
+Mentions of one entity agree, each in its own format: what counts of an e-mail address is its lower-case form, of numbers,
+IBANs and MAC addresses their digits and letters. Of persons every given name and surname is an entity, in any case; all
+capitalised mentions of a titled person's names in the same text, without a title too, are replaced. Which gender a name after a neutral
+title (Dr., Prof.) has follows from the text's other mentions. Inflected forms of a name are other names.
+
 Distinctness is checked over the whole table in Spark: where two entities got one surrogate, or a surrogate is itself
 an original, all but the first derive another, round by round, until none is left. Only texts that a cheap pattern
 suspects are shuffled; equal texts are treated once.
@@ -16,6 +21,7 @@ columns, of whatever names, pass through.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -28,6 +34,7 @@ from millrace.llm.common import map_rows, stored, texts
 TITLES = {
     ("f", "latin"): ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra."),
     ("m", "latin"): ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr."),
+    ("n", "latin"): ("Dr.", "Dr", "Doctor", "Prof.", "Prof", "Professor"),
     ("f", "cyrillic"): ("г-жа", "госпожа", "Госпожа"),
     ("m", "cyrillic"): ("г-н", "господин", "Господин"),
 }
@@ -38,18 +45,22 @@ GIVEN = {
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Юрий"),
 }
+GIVEN["n", "latin"] = GIVEN["f", "latin"] + GIVEN["m", "latin"]
+WHO = {t: who for who, ts in TITLES.items() for t in ts}
 #: Syllables of surnames by script, and their ends by gender and script.
 SYLLABLES = {"latin": ("ba", "der", "fen", "gor", "hal", "kin", "lo", "mar", "nel", "or", "pat", "ro", "san", "tel", "vin", "wes"), "cyrillic": ("ба", "вор", "гал", "дер", "кар", "лом", "мар", "нов", "пет", "рос", "сам", "тол")}
-ENDS = {("f", "latin"): ("son", "man", "ley", "berg"), ("m", "latin"): ("son", "man", "ley", "berg"), ("f", "cyrillic"): ("ова", "ина"), ("m", "cyrillic"): ("ов", "ин")}
+ENDS = {("n", "latin"): ("son", "man", "ley", "berg"), ("f", "cyrillic"): ("ова", "ина"), ("m", "cyrillic"): ("ов", "ин")}
 
 BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]+(?: [A-ZÀ-ÖØ-Þ][\w'’-]+){0,2}"
-CYRILLIC = r"[А-ЯЁ][а-яё-]+(?: [А-ЯЁ][а-яё-]+){0,2}"
+NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
+CYRILLIC = r"[А-ЯЁ][а-яё-]+"
 
 
 def titled(script: str, name: str) -> str:
     words = sorted((t for (_, s), ts in TITLES.items() if s == script for t in ts), key=len, reverse=True)
-    return rf"(?:(?<=^)|(?<=[\s(\"'«„]))(?:{'|'.join(map(re.escape, words))}) {name}"
+    title = "|".join(map(re.escape, words))
+    word = rf"(?!(?:{title})(?!\w)){name}"
+    return rf"(?:(?<=^)|(?<=[\s(\"'«„]))(?:(?:{title}) )+{word}(?: {word}){{0,2}}"
 
 
 #: Kinds in the order in which they are tried at a place.
@@ -66,9 +77,13 @@ PATTERNS = {
 }
 #: What follows the name of a secret; only the last group is the secret.
 NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)(?:[_-]?(?:key|id))?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{4,})")
+#: Words that may be a name without a title, and what ends a name within a word.
+WORD, ENDING = re.compile(r"(?<![\w'’-])[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"), re.compile(r"(?:['’]s?|-)+(?= |$)")
+#: Country codes of phone numbers.
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Every text with an entity holds one of these characters or strings.
-MARKS, STRINGS = "[0-9@=:]", ("Mr", "Ms", "Miss", "Frau", "Mme", "Madame", "Señor", "Sra.", "Sr.", "Herr", "Monsieur", "г-", "осп", "AKIA", "ASIA", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+MARKS, STRINGS = "[0-9@=:]", ("Mr", "Ms", "Miss", "Frau", "Mme", "Madame", "Señor", "Sra.", "Sr.", "Herr", "Monsieur", "Dr.", "Dr ", "Doctor", "Prof", "г-", "осп", "AKIA", "ASIA", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def suspicious(text: Column) -> Column:
@@ -82,7 +97,7 @@ def suspicious(text: Column) -> Column:
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order and apart from each other."""
     found = [(m.start(1), m.end(1), "secret") for m in NAMED.finditer(text)] if "=" in text or ":" in text else []
-    found += [(m.start(), m.end(), m.lastgroup) for m in ANY.finditer(text)]
+    found += [(m.start(), m.start() + len(bare(m[0])) if m.lastgroup == "person" else m.end(), m.lastgroup) for m in ANY.finditer(text)]
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in found:
@@ -90,9 +105,114 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             out.append((a, b, kind))
         elif b > out[-1][1]:  # no end of an overlapping entity may stay
             out[-1] = (out[-1][0], b, "secret")
+    return with_untitled(text, out) if any(kind == "person" for _, _, kind in out) else out
+
+
+def bare(name: str) -> str:
+    """A name up to a possessive."""
+    end = ENDING.search(name)
+    return name[: end.start()] if end else name
+
+
+def parsed(mention: str) -> tuple[tuple[str, str] | None, list[re.Match]]:
+    """Gender and script by the titles of a mention (None without a title), and its names."""
+    words = list(re.finditer(r"\S+", mention))
+    n = next((k for k, m in enumerate(words) if m[0] not in WHO), len(words))
+    said = [WHO[m[0]] for m in words[:n]]
+    return next((w for w in said if w[0] != "n"), said[0] if said else None), words[n:]
+
+
+Cast = tuple[dict[str, tuple[str, str]], dict[str, tuple[str, str]]]
+
+
+def cast_of(text: str, found: list[tuple[int, int, str]]) -> Cast:
+    """Gender and script of the given names, and of the surnames, of all titled persons of a text."""
+    given, surnames, neutral = {}, {}, []
+    for a, b, kind in found:
+        who, names = parsed(text[a:b]) if kind == "person" else (None, [])
+        if who:
+            *first, last = (m[0].casefold() for m in names)
+            if who[0] == "n":
+                neutral.append((first, last, who))
+                continue
+            surnames.setdefault(last, who)
+            for word in first:
+                given.setdefault(word, who)
+    for first, last, who in neutral:
+        for word in first:
+            given.setdefault(word, surnames.get(last, who))
+    for _, last, who in neutral:
+        surnames.setdefault(last, who)
+    return given, surnames
+
+
+def with_untitled(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """found, and the mentions without a title of its persons' names; names side by side are one mention."""
+    given, surnames = cast_of(text, found)
+    out: list[tuple[int, int, str]] = []
+    last = 0
+    for a, b, kind in [*found, (len(text), len(text), "")]:
+        first = len(out)
+        for m in WORD.finditer(text, last, a):
+            word = bare(m[0])
+            if word.casefold() in given or word.casefold() in surnames:
+                joined = len(out) > first and text[out[-1][1] : m.start()] == " "
+                out.append((out.pop()[0] if joined else m.start(), m.start() + len(word), "person"))
+        if kind:
+            out.append((a, b, kind))
+        last = b
     return out
 
 
+def canonical(kind: str, value: str) -> str:
+    """What all mentions of an entity share."""
+    if kind == "email":
+        return value.lower()
+    if kind in {"mac", "iban"}:
+        plain = re.sub(r"[ :-]", "", value)
+        return plain.lower() if kind == "mac" else plain
+    if kind in {"card", "ssn", "phone"}:
+        return "+" * value.startswith("+") + "".join(str(int(c)) for c in value if c.isdecimal())
+    return value
+
+
+def parts_of_mention(kind: str, value: str, cast: Cast) -> list[tuple[int, int, str, str]]:
+    """The entities of a mention: start, end, kind and canonical value. A person is a surname and any given names, whose kinds tell gender and script."""
+    if kind != "person":
+        return [(0, len(value), kind, canonical(kind, value))]
+    (who, names), (given, surnames), out = parsed(value), cast, []
+    for k, m in enumerate(names):
+        word, is_last = m[0].casefold(), k == len(names) - 1
+        if is_last if who else word not in given or (is_last and word in surnames):
+            gender, script = who or surnames[word]
+            out.append((*m.span(), f"surname {'n' if script == 'latin' else gender} {script}", word))
+        else:
+            gender, script = who if who and who[0] != "n" else given.get(word, who)
+            out.append((*m.span(), f"given {gender} {script}", word))
+    return out
+
+
+def in_format(kind: str, made: str, value: str) -> str:
+    """A canonical surrogate in the format of a mention."""
+    if kind.startswith(("given ", "surname ")):
+        return made.upper() if value.isupper() else made.title()
+    if kind == "email":
+        return made[: -len(value)] + "".join(c.upper() if v.isupper() else c for c, v in zip(made[-len(value) :], value, strict=True))
+    if kind in {"mac", "iban", "card", "ssn", "phone"}:
+        chars = iter(made.upper() if kind == "mac" and value != value.lower() else made.lstrip("+"))
+        return "".join([next(chars) if c.isalnum() else c for c in value]) + "".join(chars)
+    return made
+
+
+def render(kind: str, value: str, cast: Cast, known: Callable[[str, str], str]) -> str:
+    """A mention with surrogates for its entities; known gives a surrogate by kind and canonical value."""
+    out, last = [], 0
+    for a, b, part, entity in parts_of_mention(kind, value, cast):
+        out += [value[last:a], in_format(part, known(part, entity), value[a:b])]
+        last = b
+    return "".join([*out, value[last:]])
+
+
 class Stream:
     """Numbers that follow from a key, a kind, an entity and an attempt."""
 
@@ -130,15 +250,18 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits)))
 
 
-#: After so many attempts in vain, which a format with too few values left takes, surrogates grow longer by one character (IP addresses don't).
+#: After so many attempts in vain, which a format with too few values left takes, surrogates grow longer by one character (IP addresses don't; names grow with each attempt).
 PATIENCE = 8
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The attempt-th surrogate of an entity; never the entity itself."""
-    stream, longer = Stream(key, kind, value, attempt), attempt // PATIENCE
+    if kind == "person":
+        return render(kind, value, cast_of(value, [(0, len(value), kind)]), lambda k, v: surrogate(key, k, v, attempt))
+    name = kind.startswith(("given ", "surname "))
+    stream, longer = Stream(key, kind, value, attempt), attempt if name else attempt // PATIENCE
     while True:
-        made = derive(kind, value if kind == "person" else "0" * longer + value if kind == "email" else value if kind == "ip" else value + "0" * longer, stream, longer)
+        made = derive(kind, value if name else "0" * longer + value if kind == "email" else value if kind == "ip" else value + "0" * longer, stream, longer)
         if made != value:
             return made
 
@@ -155,7 +278,7 @@ def derive(kind: str, value: str, stream: Stream, longer: int = 0) -> str:
     if kind == "iban":
         return value[:2] + same_shape(value[2:], stream)
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        country = COUNTRY.match(value)
         at = country.end() if country else 0
         return value[:at] + same_shape(value[at:], stream)
     if kind == "card":
@@ -168,23 +291,27 @@ def derive(kind: str, value: str, stream: Stream, longer: int = 0) -> str:
         lead = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-", value)
         at = lead.end() if lead else 0
         return value[:at] + same_shape(value[at:], stream, hexadecimal=bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)))
-    if kind == "person":
-        who = next((w for w, ts in TITLES.items() if value.startswith(tuple(f"{t} " for t in ts))), ("m", "latin"))
-        title = next((t for t in sorted(TITLES[who], key=len, reverse=True) if value.startswith(f"{t} ")), "")
-        syllables, ends = SYLLABLES[who[1]], ENDS[who]
-        surname = lambda: ("".join(syllables[stream.below(len(syllables))] for _ in range(3 + longer)) + ends[stream.below(len(ends))]).capitalize()
-        names = value[len(title) :].split()
-        made = [GIVEN[who][stream.below(len(GIVEN[who]))] for _ in names[:-1]] + [surname()]
-        return " ".join([title, *made]) if title else " ".join(made)
+    if kind.startswith(("given ", "surname ")):
+        role, *who = kind.split(" ")
+        syllables = SYLLABLES[who[1]]
+        made = "".join(syllables[stream.below(len(syllables))] for _ in range(longer + (3 if role == "surname" else 1)))
+        tails, names = ENDS.get(tuple(who), ()), GIVEN[tuple(who)]
+        if role == "surname":
+            return made + tails[stream.below(len(tails))]
+        return names[stream.below(len(names))].lower() + (f"-{made}" if longer else "")
     return same_shape(value, stream)
 
 
 def entities(suspects: DataFrame, text: str, key: str) -> DataFrame:
-    """key, kind and value of all entities; within a task, equal rows go out once."""
+    """key, kind and canonical value of all entities; within a task, equal rows go out once."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = {(k, kind, t[a:b]) for k, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for a, b, kind in spans(t)}
+            rows = set()
+            for k, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                found = spans(t)
+                cast = cast_of(t, found)
+                rows.update((k, part, entity) for a, b, kind in found for _, _, part, entity in parts_of_mention(kind, t[a:b], cast))
             if not rows:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows), strict=True)], ["key", "kind", "value"])
@@ -237,8 +364,10 @@ def replace(docs: DataFrame, secret: bytes, text: str = "text", count: str | Non
             new, counts = [], []
             for t, pairs_of in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 known, parts, last, n = dict(pairs_of or ()), [], 0, 0
-                for a, b, kind in spans(t) if known else ():
-                    parts += [t[last:a], known[f"{kind}:{t[a:b]}"]]
+                found = spans(t) if known else []
+                cast = cast_of(t, found)
+                for a, b, kind in found:
+                    parts += [t[last:a], render(kind, t[a:b], cast, lambda k, v: known[f"{k}:{v}"])]  # noqa: B023
                     last, n = b, n + 1
                 new.append("".join([*parts, t[last:]]))
                 counts.append(n)

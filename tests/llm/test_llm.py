@@ -389,6 +389,35 @@ def test_secrets_of_any_length(spark):
     assert pii.spans("token=" + token) == [(6, 6 + len(token), "secret")] and pii.spans(digits) == [(0, 200, "secret")]
 
 
+def test_mentions_of_one_entity_agree(spark):
+    texts = [
+        "Mr. John Smith met Dr. John Smith, Mr. Smith and Mr John Smith's wife. John Smith left; SMITH, Smith's and smithy stay.",
+        "Prof. Dr. Müller spoke. Frau Eva Müller and Eva left. Herr Dr. Kern too.",
+        "Ann.Lee@Mail.example.org ann.lee@mail.example.org",
+        "+49 151 123 4567 or +49-151-123-4567",
+        "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111111",
+        "DE89 3704 0044 0532 0130 00 = DE89370400440532013000",
+        "AA:BB:CC:DD:EE:0F aa-bb-cc-dd-ee-0f",
+    ]
+    got = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\S+) (\S+) met Dr\. \1 \2, Mr\. \2 and Mr \1 \2's wife\. \1 \2 left; (\S+), \2's and smithy stay\.", got[0])
+    assert m and m[3] == m[2].upper() and (m[1], m[2]) != ("John", "Smith") and m[1].split("-")[0] in pii.GIVEN["m", "latin"], got[0]
+    m = re.fullmatch(r"Prof\. Dr\. (\S+) spoke\. Frau (\S+) \1 and \2 left\. Herr Dr\. (\S+) too\.", got[1])
+    assert m and m[1] != "Müller" and m[2].split("-")[0] in pii.GIVEN["f", "latin"] and m[3] not in {"Kern", m[1]}, got[1]
+    for old, now, cut in zip(texts[2:], got[2:], (" ", " or ", " 4111", " = ", " "), strict=True):
+        at = len(old) if cut == " 4111" else old.index(cut)
+        forms = [now[:19], now[20:39], now[40:]] if cut == " 4111" else [now[:at], now[at + len(cut) :]]
+        assert len({re.sub(r"[ :-]", "", f).lower() for f in forms}) == 1 and len(now) == len(old) and now != old, (old, now)
+        assert [c.isalnum() for c in now] == [c.isalnum() for c in old] and got[3].startswith("+49 ") and got[5][:2] == "DE"
+
+
+def test_names_stay_distinct(spark):
+    names = [f"{a}{b}" for a in ("Al", "Be", "Cor", "Dun") for b in ("a", "en", "is", "ov", "ur", "yl", "em", "ot", "ix", "ad")]
+    found = spark.createDataFrame([(kind, n.lower()) for n in names for kind in ("given m latin", "given f latin", "surname n latin")], "kind string, value string")
+    rows = pii.surrogates(found, b"k").collect()
+    assert len(rows) == len({r.surrogate for r in rows}) == 120
+
+
 # ---- 10
 
 
