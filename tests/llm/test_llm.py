@@ -1,6 +1,7 @@
 """The llm operators: brute force, round trips, held-out accuracy, and the edge cases of every docstring."""
 
 import hashlib
+import inspect
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -148,6 +149,17 @@ def test_codecs(codec):
     assert len(media.resample(samples, 8000, 1000)) == -(-len(samples) // 8) and len(media.resample(samples, 8000, 16000)) == 2 * len(samples)
 
 
+def test_stored_sound_keeps_the_telephony_band(spark):
+    """Stored is every sample of the file; a tone of 3 kHz survives."""
+    df = spark.createDataFrame([(k, t * 40) for k, t in enumerate(("one text ", "another ", "third text ", "x"))], "doc_id long, text string")
+    for r in media.store(df).collect():
+        heard, rate = media.decode(bytes(r.media))
+        kept, pcm_rate = media.decode(bytes(r.pcm))
+        assert pcm_rate == rate == 8000 and np.array_equal(kept, heard)
+    tone = np.round(8000 * np.sin(2 * np.pi * 3000 * np.arange(800) / 8000)).astype(np.int16)
+    assert np.array_equal(media.resample(tone, 8000, inspect.signature(media.store).parameters["pcm_rate"].default), tone)
+
+
 def test_law_tables():
     assert media.TABLES[media.MULAW][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert media.TABLES[media.ALAW][[0, 85, 213, 128]].tolist() == [-5504, -8, 8, 5504]
