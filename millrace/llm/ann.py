@@ -3,9 +3,10 @@
 Each curve projects the unit vectors by a rotation of its own, shifts them at random in a grid and orders them by Hilbert
 key; Spark range-partitions the keys, which gives every vector a rank on every curve. A query is compared to the
 vectors whose rank on some curve is within a window around its own; the best of all windows are merged, and scored in double
-precision on the original vectors. The window is a share of the table (and at least least_window ranks, so that small
+precision on the vectors divided by their largest component. The window is a share of the table (and at least least_window ranks, so that small
 tables are searched whole): nearly isotropic vectors hold so little order that a fixed window would lose recall as the table
-grows. Equal vectors are one entry with their smallest ids: as many as a result can need.
+grows. Vectors of one direction, equal or scaled, are one entry with their smallest ids: as many as a result can need. Of other
+ties a block keeps all before ids decide.
 
 The grid's bounds come from a bounded sample (sample vectors, picked by a hash). Rows with null vec_id, vectors that are
 null, zero, of another length than most, or hold null or non-finite components take no part. Repeated rows count once.
@@ -77,9 +78,18 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 10, ax
         return spark.createDataFrame([], result)
     dims = sizes[0].dims
     axes = min(axes, dims)
-    valid = valid.filter(F.size("embedding") == dims)
 
-    # equal vectors: the k + 1 smallest ids stand for all; Spark limits each task's rows before the shuffle
+    def directions():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = matrix(batch.column(1), dims)
+            x = x / np.abs(x).max(axis=1, keepdims=True) + 0.0  # rounded once, so that exact multiples become equal; no negative zeros
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, x.size + 1, dims, dtype=np.int32), x.ravel())], ["vec_id", "embedding"])
+
+        return step
+
+    valid = map_rows(valid.filter(F.size("embedding") == dims), "vec_id long, embedding array<double>", directions)
+
+    # vectors of one direction: the k + 1 smallest ids stand for all; Spark limits each task's rows before the shuffle
     first = Window.partitionBy("embedding").orderBy("vec_id")
     fewest = valid.distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
     entries = stored(fewest.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-entries")
@@ -134,19 +144,22 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, curves: int = 10, ax
     near = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor(F.least(F.col("rank") + window, F.lit(n - 1)) / block))
     right = held.join(distinct, "entry", "left_semi").select(F.col("curve").alias("c"), F.explode(near).alias("b"), slot.alias("s"), F.col("entry").alias("query"), F.col("embedding").alias("vector"))
 
+    most_pairs = 1 << 15
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         x, y = np.stack(a["embedding"]).astype(np.float64), np.stack(b["vector"]).astype(np.float64)
         u, v, ids = unit(x), unit(y), a["entry"].to_numpy()
-        most = min(k + 9, len(u))
         rough = v @ u.T
-        at = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-        score = cosine(y[:, None, :], x[at])
-        entry = ids[at]
-        best = np.lexsort((entry, -score), axis=1)[:, : k + 1]
-        rows = np.arange(len(v))[:, None]
-        return pd.DataFrame({"query": np.repeat(b["query"].to_numpy(), best.shape[1]), "entry": entry[rows, best].ravel(), "score": score[rows, best].ravel()})
+        most = min(k + 1, len(u))
+        least = -np.partition(-rough, most - 1, axis=1)[:, most - 1]
+        row, at = np.nonzero(rough >= least[:, None] - 1e-12)  # all ties, and more than rounding can swap
+        score = np.concatenate([cosine(y[row[p : p + most_pairs]], x[at[p : p + most_pairs]]) for p in range(0, len(row), most_pairs)])
+        order = np.lexsort((ids[at], -score, row))
+        row, at, score = row[order], at[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        return pd.DataFrame({"query": b["query"].to_numpy()[row[best]], "entry": ids[at[best]], "score": score[best]})
 
     met = left.groupBy("curve", "block", "slot").cogroup(right.groupBy("c", "b", "s")).applyInPandas(meet, "query long, entry long, score double")
     merged = met.groupBy("query", "entry").agg(F.max("score").alias("score"))

@@ -296,6 +296,23 @@ def test_ann_edges(spark):
     assert ann.search(df.filter("vec_id = 0")).count() == 0
 
 
+def test_ann_ties_prefer_small_ids(spark):
+    """Many scaled copies, more than a window holds; many other vectors of one cosine."""
+    random = np.random.default_rng(5)
+    base = random.integers(-9, 10, 21).astype(float)
+    rows = [(k, (base * (1 + k * 7 % 200)).tolist()) for k in range(200)]
+    rows += [(1000 + k, random.normal(size=21).tolist()) for k in range(800)]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=0.06, least_window=20, block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert (got[0], got[50], got[150]) == ([1, 2, 3, 4, 5], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4])
+    one = np.eye(21)
+    rows = [(0, one[0].tolist())] + [(1 + 37 * k % 40, (one[0] + (-1) ** k * one[1 + k // 2]).tolist()) for k in range(40)]
+    rows += [(1001 + k, (random.normal(size=21) * 0.1 - one[0]).tolist()) for k in range(900)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3, 4, 5]
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     path = grid[np.argsort(ann.hilbert(grid, 3))]
