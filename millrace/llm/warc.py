@@ -61,19 +61,21 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def archive(records: list[bytes], dictionary_bytes: int, sample_bytes: int, level: int) -> bytes:
-    """An archive file. The dictionary learns from every k-th record, up to sample_bytes in all; too few records give an archive without one."""
+    """An archive file. The dictionary learns from slices spread over all records, sample_bytes in all; where none can be trained, those slices are the dictionary."""
     import zstandard
 
-    step = max(1, sum(map(len, records)) // sample_bytes)
-    samples = [r[: sample_bytes // 8] for r in records[::step]]
-    lead, dictionary = b"", None
-    if len(samples) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(min(dictionary_bytes, sum(map(len, samples)) // 8 + 256), samples, k=512, d=8)
-            raw = dictionary.as_bytes()
-            lead = struct.pack("<II", SKIPPABLE, len(raw)) + raw
-        except zstandard.ZstdError:
-            dictionary = None
+    total = sum(map(len, records))
+    piece = max(256, min(4096, total // 64))
+    slices = [r[at : at + piece] for r in records for at in range(0, len(r), piece)]
+    samples = slices[:: max(1, -(-len(slices) * piece // sample_bytes))]
+    size = min(dictionary_bytes, sum(map(len, samples)) // 8 + 256)
+    try:
+        raw = zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
+    except zstandard.ZstdError:
+        # raw content; its first bytes are text of a record, never the magic number of a trained dictionary
+        raw = b"".join(samples)[:size]
+    dictionary = zstandard.ZstdCompressionDict(raw)
+    lead = struct.pack("<II", SKIPPABLE, len(raw)) + raw
     press = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=True)
     return lead + b"".join(map(press.compress, records))
 

@@ -216,6 +216,14 @@ def test_warc_file_starts_with_its_dictionary(tmp_path, spark):
     assert warc.export(archives, str(tmp_path)) == 1 and (tmp_path / "a.warc.zst").read_bytes() == data
 
 
+@pytest.mark.parametrize(("n", "words"), [(1, 1), (3, 20), (40, 20000), (5, 60000)])
+def test_warc_dictionary_of_few_or_large_records(n, words):
+    random = np.random.default_rng(n)
+    records = [warc.record(k, "http://h", " ".join(f"w{x}" for x in random.integers(0, 3000, words)).encode(), "D", False, None) for k in range(n)]
+    data = warc.archive(records, 64 << 10, 1 << 20, 3)
+    assert data[:4] == warc.SKIPPABLE.to_bytes(4, "little") and list(warc.frames(data)) == records
+
+
 # ---- 5, 7
 
 
