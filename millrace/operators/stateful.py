@@ -2,7 +2,8 @@
 
 in_order() hands each branch's rows, sorted, to a small state machine. The rows of a branch stream through one task in
 Arrow batches and are never gathered; a branch is sequential by its meaning and can't be split, so that one branch with
-very many rows bounds the run time, not the memory.
+very many rows bounds the run time. Memory is what the machine keeps: correlation holds all unmatched rows of a branch within the
+horizon, and without one all of them, and searches them one by one.
 """
 
 from __future__ import annotations
