@@ -5,16 +5,23 @@ root, digits replaced); the paths' scores are added up by host in Spark, which g
 page is then extracted anew from the containers on its host's path. A page that has no container on that path, and one
 without a host, uses its own best container.
 
+Elements lie apart from main text by their tag, by whole words of their class, id, role or name of a custom element (`no-`,
+`has-` and the like turn a word off), or because they are hidden; inline elements are judged too. Words and tags
+are guesses: where all that lies apart leaves next to nothing of a page, the largest part that was taken away comes back.
+
 A page's text is its blocks in order, white space inside a block being one space, blocks being joined by two line
 feeds. Null or empty html, and pages without text, give an empty text. Repeated pages vote and are extracted each. An
-unclosed element ends with its parent; a page cut off in the middle of a tag ends there.
+unclosed element ends with its parent, an unclosed attribute with its tag; a page cut off in the middle of a tag ends there. Elements may be nested to any depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,136 +29,296 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_rows, stored
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-NAMES = re.compile(r"""\b(class|id|role|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A comment, a tag, or a declaration. A quoted value with a > inside counts as one only if something else than a name follows its end.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\">]*+\"|'[^'>]*+'|\"[^\"]*+\"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z))*+(?=>|\Z)|[^>]*+)(?:>|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)",
+    re.S,
+)
+NAMES = re.compile(r"""(?<![\w-])(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose content is no markup.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title", "xmp", "noembed", "noframes"}
-#: Elements that never hold the main text.
-APART = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "label", "fieldset", "audio", "video", "map"} | RAW
-BLOCKS = {"p", "div", "section", "article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "hr", "details", "summary", "center"} | APART
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+#: Elements that never hold text of a page.
+NEVER = {"noscript", "template", "svg", "math", "object", "canvas", "head", "select", "datalist", "button", "label", "legend", "audio", "video", "map", "menu"}
+#: Elements that hold the main text only where nothing else does.
+RARELY = {"nav", "header", "footer"}
+#: Elements that may wrap the main text of a page.
+SELDOM = {"aside", "form", "dialog", "fieldset"}
+BLOCKS = {"p", "div", "section", "article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "hr", "details", "summary", "center", "head", "legend", "menu"} | RARELY | SELDOM
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 #: An open p ends where one of these begins.
-ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "label", "button", "select", "audio", "video", "map"} - RAW
-#: What a class, id or role says of an element that isn't main text.
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menus?|sidebar|side-bar|header|masthead|footer|comments?|commentlist|disqus|replies|respond|reviews?|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widget|toolbar|search|skip|copyright|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "legend"}
+#: What else ends where an element begins.
+CELLS = {"td", "th"}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": CELLS, "th": CELLS, "tr": {"tr", *CELLS}, "body": {"head"}}
+#: Words by which a class, id or role says that an element isn't main text.
+ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion promotions banner nav navbar navigation menu menus sidebar header masthead footer "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar search skip copyright complementary contentinfo dialog".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: A word in front, or behind, by which a name speaks of something else than its element.
+NEGATIONS = frozenset("no not non without with has have hide disable enable".split())
+STATES = frozenset("open closed enabled disabled on off allowed active inactive".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
+#: How small the rest of a page's text must be, as a share of an element's, for the element to come back: never, as a reader comment, a menu or footer, another guess, another with a heading.
+HARD, COMMENT, OUTER, GUESS, HEADED = 0.0, 0.02, 0.02, 0.05, 0.5
 
 
 class Node:
-    """An element with its text blocks' places: blocks[first:last] of its page lie inside it."""
+    """An element: pieces of text lie in it, and the blocks first:last of its page. apart is None, or the share by which it may come back."""
 
-    __slots__ = ("apart", "first", "last", "links", "parent", "path", "size", "tag")
+    __slots__ = ("apart", "code", "depth", "first", "headed", "last", "links", "name", "parent", "size", "tag", "text", "text_links")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, first: int, apart: bool):
-        self.tag, self.path, self.parent, self.first, self.last, self.apart = tag, path, parent, first, first, apart
-        self.size = self.links = 0
+    def __init__(self, tag: str, name: str, parent: Node | None, first: int, apart: float | None, code: int, depth: int):
+        self.tag, self.name, self.parent, self.first, self.last, self.apart, self.code, self.depth = tag, name, parent, first, first, apart, code, depth
+        self.text = self.text_links = self.size = self.links = 0
+        self.headed = tag in {"h1", "main", "article"}
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name of an element, and whether it lies apart from main text."""
-    apart, classes = tag in APART, ""
-    if attributes and "=" in attributes or "hidden" in attributes:
+def says(value: str) -> float | None:
+    """What the words of a class, id, role or custom element's name say."""
+    out = None
+    for token in value.split():
+        parts = [p.lower() for p in PARTS.findall(token.partition("--")[0])]
+        if not parts or parts[0] in NEGATIONS or parts[-1] in STATES:
+            continue
+        words = {*parts, *map("".join, zip(parts, parts[1:]))}
+        if words & COMMENTS:
+            return COMMENT
+        if words & ASIDE:
+            out = GUESS
+    return out
+
+
+def named(tag: str, attributes: str) -> tuple[str, int, float | None]:
+    """Generalised name of an element, that name's code, and whether it lies apart."""
+    apart = HARD if tag in NEVER else OUTER if tag in RARELY else GUESS if tag in SELDOM else says(tag) if "-" in tag else None
+    classes = ""
+    if "=" in attributes:
         for m in NAMES.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "class":
-                classes = ".".join(sorted(re.sub(r"\d+", "#", value).split()))
+                classes = ".".join(sorted(re.sub(r"\d+", "#", value).replace("/", "|").split()))
             if name == "style":
-                apart |= bool(re.search(r"display\s*:\s*none", value, re.I))
-            elif name != "hidden" and tag not in {"body", "html", "article", "main"}:
-                apart |= bool(ASIDE.search(value))
-        apart |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
-    return (f"{tag}.{classes}" if classes else tag), apart
-
-
-def parse(page: str) -> tuple[list[str], list[Node]]:
-    """Text blocks outside of menus and the like, and all containers."""
-    blocks: list[str] = []
-    words: list[str] = []
-    linked = 0
-    root = Node("", "", None, 0, False)
-    top, nodes, at, anchors, depth = root, [], 0, 0, 1
-
-    def end_block() -> None:
-        nonlocal linked
-        text = SPACE.sub(" ", entities.unescape("".join(words))).strip()
-        words.clear()
-        if text:
-            blocks.append(text)
-            top.size += len(text)
-            top.links += linked
-        linked = 0
-
-    def leave(node: Node) -> None:
-        nonlocal top, depth
-        node.last = len(blocks)
-        top = node.parent
-        depth -= 1
-        if not node.apart and top is not None:
-            top.size += node.size
-            top.links += node.links
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not top.apart:
-            words.append(text)
-            linked += len(text) if anchors else 0
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag == "a":
-                anchors = max(0, anchors - 1)
-            elif tag in BLOCKS:
-                node = top
-                while node.parent is not None and node.tag != tag:
-                    node = node.parent
-                if node.parent is not None:
-                    end_block()
-                    while top is not node:
-                        leave(top)
-                    leave(node)
-            continue
-        if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
-            continue
+                apart = HARD if re.search(r"display\s*:\s*none", value, re.I) else apart
+            elif apart is None and tag not in {"body", "html", "main"}:
+                said = says(value)
+                apart = said if tag != "article" or said == COMMENT else None
+    if "hidden" in attributes.lower() and HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        apart = HARD
+    name = f"{tag}.{classes}" if classes else tag
+    return name, crc32(name.encode("utf-8", "surrogatepass")), apart
+
+
+often = lru_cache(maxsize=1 << 13)(named)
+
+
+def below(code: int, name_code: int) -> int:
+    """Code of a path from that of its parent."""
+    return (code * 0x100000001B3 ^ name_code) & 0xFFFFFFFFFFFFFFFF
+
+
+def closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+
+
+CLOSING = {tag: closing(tag) for tag in RAW}
+
+
+class Page:
+    """A page's elements in order (the root first), and its blocks, each a list of an element and a piece of text."""
+
+    def __init__(self, page: str):
+        self.root = self.top = Node("", "", None, 0, None, 0, 0)
+        self.nodes, self.blocks, self.waiting = [self.root], [], []
+        self.anchor: Node | None = None
+        self.opened: Counter[str] = Counter()
+        self.read(page)
+        self.settle()
+
+    def end_block(self) -> None:
+        if self.waiting:
+            self.blocks.append(self.waiting)
+            self.waiting = []
+
+    def leave(self, upto: Node) -> None:
+        """Close all elements from the innermost up to one."""
+        while True:
+            node = self.top
+            node.last = len(self.blocks)
+            self.top = node.parent
+            if node is self.anchor:
+                self.anchor = None
+            self.opened[node.tag] -= 1
+            if node is upto:
+                return
+
+    def enclosing(self, tag: str) -> Node:
+        """The innermost open element of a tag; there is one."""
+        node = self.top
+        while node.tag != tag:
+            node = node.parent
+        return node
+
+    def block(self) -> Node:
+        """The innermost open block."""
+        node = self.top
+        while node.parent is not None and node.tag not in BLOCKS:
+            node = node.parent
+        return node
+
+    def say(self, text: str) -> None:
+        n = len(text.strip())
+        if n and self.top.tag == "head":
+            self.leave(self.top)
+        node = self.top
+        node.text += n
+        if self.anchor is not None:
+            node.text_links += n
+        if n or self.waiting:
+            self.waiting.append((node, text))
+
+    def read(self, page: str) -> None:
+        at, unclosed = 0, set()
+        while at < len(page):
+            m = TOKEN.search(page, at)
+            end = m.start() if m else len(page)
+            if end > at:
+                self.say(page[at:end])
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                self.close(tag)
+            elif tag in RAW:
+                if not m[3].endswith("/") and tag not in unclosed:
+                    close = CLOSING[tag].search(page, at)
+                    at = close.end() if close else len(page) if tag in {"script", "style"} else at
+                    if not close:
+                        unclosed.add(tag)
+            else:
+                self.open(tag, m[3])
+        self.end_block()
+        if self.top is not self.root:
+            last = self.top
+            while last.parent is not self.root:
+                last = last.parent
+            self.leave(last)
+        self.root.last = len(self.blocks)
+
+    def close(self, tag: str) -> None:
+        if tag == "a":
+            self.anchor = None
+        if tag == "p" or tag in BLOCKS and self.opened[tag]:
+            self.end_block()
+        if self.opened[tag]:
+            self.leave(self.enclosing(tag))
+
+    def open(self, tag: str, attributes: str) -> None:
         if tag == "a":
-            anchors += 1
-        if tag in {"br", "wbr"}:
-            words.append(" " if tag == "br" and not top.apart else "")
-        elif tag in BLOCKS:
-            end_block()
-            if tag in ENDS_P and top.tag == "p" or tag == top.tag and tag in {"li", "dt", "dd", "td", "th", "tr", "option"}:
-                leave(top)
-            if tag not in VOID and depth < 400:
-                name, apart = label(tag, m[3])
-                top = Node(tag, f"{top.path}/{name}" if depth < 40 else top.path, top, len(blocks), apart or top.apart)
-                depth += 1
-                nodes.append(top)
-    end_block()
-    while top.parent is not None:
-        leave(top)
-    root.last = len(blocks)
-    root.path = "/"
-    nodes.append(root)
-    return blocks, [n for n in nodes if not n.apart and (n.tag in CONTAINERS or n is root)]
+            self.anchor = self.top if "href" in attributes.lower() else None
+        if tag == "br":
+            self.say(" ")
+        if tag in BLOCKS:
+            self.end_block()
+            if tag in ENDS_P and self.opened["p"] and (p := self.block()).tag == "p":
+                self.leave(p)
+            while self.top.tag in ENDS.get(tag, ()) or self.top.tag == "head":
+                self.leave(self.top)
+        elif tag in VOID:
+            return
+        name, code, apart = (often if len(attributes) < 200 else named)(tag, attributes)
+        top = self.top
+        if tag in BLOCKS:
+            if tag in VOID:
+                return
+            self.top = Node(tag, name, top, len(self.blocks), apart, below(top.code, code), top.depth + 1)
+        elif (apart is not None or self.opened[tag]) and not attributes.endswith("/"):
+            self.top = Node(tag, "", top, len(self.blocks), apart, top.code, top.depth)
+        else:
+            return
+        self.opened[tag] += 1
+        self.nodes.append(self.top)
+
+    def tally(self) -> None:
+        """Sizes of all elements without what lies apart inside of them."""
+        for n in self.nodes:
+            n.size, n.links = n.text, n.text_links
+        for n in reversed(self.nodes[1:]):
+            n.parent.headed |= n.headed
+            if n.apart is None:
+                n.parent.size += n.size
+                n.parent.links += n.links
+
+    def settle(self) -> None:
+        """Decide which elements lie apart, and hand that down."""
+        self.tally()
+        while True:
+            rest, back = self.root.size - self.root.links, None
+            hard: set[int] = set()
+            for n in self.nodes[1:]:
+                if n.apart == HARD or id(n.parent) in hard:
+                    hard.add(id(n))
+                elif n.apart is not None:
+                    plain = n.size - n.links
+                    least = HEADED if n.headed and n.apart == GUESS else n.apart
+                    if rest < least * plain and (back is None or plain > back.size - back.links):
+                        back = n
+            if back is None:
+                break
+            while back is not None:
+                back.apart, back = None, back.parent
+            self.tally()
+        for n in self.nodes[1:]:
+            if n.parent.apart is not None:
+                n.apart = n.parent.apart
+
+    def containers(self) -> list[Node]:
+        return [n for n in self.nodes if n.apart is None and (n is self.root or n.name and n.tag in CONTAINERS)]
+
+    def text(self, spans: list[tuple[int, int]]) -> str:
+        """The text of the blocks of spans, in page order."""
+        out, at = [], 0
+        for first, last in sorted(spans):
+            for block in self.blocks[max(first, at) : max(last, at)]:
+                said = SPACE.sub(" ", entities.unescape("".join([t for n, t in block if n.apart is None]))).strip()
+                if said:
+                    out.append(said)
+            at = max(at, last)
+        return "\n\n".join(out)
+
+
+def path_of(node: Node) -> str:
+    names = []
+    while node.parent is not None:
+        if node.name:
+            names.append(node.name)
+        node = node.parent
+    return "/" + "/".join(reversed(names))
+
+
+@lru_cache(maxsize=1 << 12)
+def place_of(path: str) -> tuple[int, int]:
+    """Depth and code of a path."""
+    code, names = 0, path.split("/")[1:] if path != "/" else []
+    for name in names:
+        code = below(code, crc32(name.encode("utf-8", "surrogatepass")))
+    return len(names), code
 
 
 def score(node: Node, of: int) -> float:
-    """How likely a container is the main one: its share of the page's text without links, with a start for telling tags, less for reaching wide."""
+    """How likely a container is the main one: its share of the page's text without links, with a start for telling tags and, of nearly equal ones, for the innermost."""
     text = max(0, node.size - 2 * node.links)
     kind = {"article": 1.0, "main": 0.9, "section": 0.6, "div": 0.6, "td": 0.5, "body": 0.3}.get(node.tag, 0.2)
-    return text / max(1, of) * (1 + kind) + 0.01 * node.path.count("/") if text else 0.0
+    return text / max(1, of) * (1 + kind) + 0.002 * min(node.depth, 20) if text else 0.0
 
 
 def best(nodes: list[Node]) -> tuple[Node, float]:
@@ -161,29 +328,25 @@ def best(nodes: list[Node]) -> tuple[Node, float]:
     return next((n, s) for s, n in scored if s == top)
 
 
-def voted(page: str) -> tuple[str, float]:
+def voted(html: str) -> tuple[str, float]:
     """Path and score of a page's best container."""
-    blocks, nodes = parse(page)
-    if not blocks:
+    page = Page(html)
+    if not page.root.size:
         return "", 0.0
-    node, points = best(nodes)
-    return node.path, points
+    node, points = best(page.containers())
+    return path_of(node), points
 
 
-def text_of(page: str, path: str | None) -> str:
+def text_of(html: str, path: str | None) -> str:
     """Main text of a page by its host's path, or by its own best container if nothing is there."""
-    blocks, nodes = parse(page)
-    if not blocks:
-        return ""
-    spans = sorted((n.first, n.last) for n in nodes if path and n.path == path and n.last > n.first)
+    page = Page(html)
+    nodes = page.containers()
+    place = place_of(path) if path else None
+    spans = [(n.first, n.last) for n in nodes if n.size and (n.depth, n.code) == place]
     if not spans:
         node, _ = best(nodes)
         spans = [(node.first, node.last)]
-    out, at = [], 0
-    for first, last in spans:
-        out += blocks[max(first, at) : max(last, at)]
-        at = max(at, last)
-    return "\n\n".join(out)
+    return page.text(spans)
 
 
 def host(url: str = "url"):
