@@ -1,9 +1,10 @@
 """Language identification: multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Document frequencies are counted over all training rows in Spark. The regression is fitted on the driver by
-follow-the-regularised-leader with L1 and L2 penalties, on a bounded sample: about per_language documents of each of
-the most_languages most frequent languages (both are parameters of train()), picked by a hash of their key. A tenth
-of the sample is kept back to choose the temperature by which the logits are divided.
+follow-the-regularised-leader with L1 and L2 penalties, on a bounded sample: about per_language documents of each
+language, fewer where that is more than most_rows in all (both are parameters of train()), picked by a hash of key and
+text; rows that repeat both are picked once. All languages are learned, so that the weights grow with their number. A tenth of the
+sample is kept back to choose the temperature by which the logits are divided.
 
 Null text and text without a letter get `und` and score 0, as does every text if nothing could be learned. Rows with
 null language teach nothing. Repeated rows count and are predicted each; very long texts are used whole.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_rows, parts_of, texts
 
-NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Numerals that Python counts as word characters without being letters or decimal digits, such as fractions and circled numbers.
+NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NO_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
 MIX = np.uint32(2654435761)
 BUCKETS = 1 << 15
 
@@ -115,18 +118,20 @@ def frequencies(docs: DataFrame, text: str, buckets: int = BUCKETS) -> tuple[np.
     return total[:buckets], int(total[buckets])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, most_languages: int = 200) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, most_rows: int = 40_000) -> Model:
     """Learn from the text and language of all rows given."""
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)))
     languages = sorted(sizes)
     seen, n = frequencies(known, "text")
     idf = np.log((1 + n) / (1 + seen)) + 1
-    share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(max(1, round((1 << 40) * per_language / sizes[name]))))])
-    rank: Column = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    picked = known.filter(rank < share[F.col("lang")]).select("lang", "text", (rank % 10 == 0).alias("kept_back"))
+    each = min(per_language, max(1, most_rows // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(name, min(1 << 40, max(1, round((1 << 40) * each / sizes[name])))) for name in languages], "lang string, share long")
+    rank: Column = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40))
+    picked = known.withColumn("rank", rank).join(F.broadcast(shares), "lang").filter("rank < share").dropDuplicates(["lang", "rank"])  # one row of shares for each language
+    picked = picked.select("lang", "text", (F.col("rank") % 10 == 0).alias("kept_back"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
