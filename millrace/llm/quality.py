@@ -4,7 +4,7 @@ Every document gets the votes (good, bad or none) of all labellers. Documents ar
 whole table in Spark; there are at most 3^9 patterns, so EM runs on the driver over those counts and gives each
 labeller's accuracies and each pattern's posterior. A logistic scorer on hashed features (character n-grams, shapes of
 words, and coarse statistics) is then fitted to the posteriors on a bounded sample, about per_side documents from
-each side (a parameter), and scores every document.
+each side (a parameter) picked by a hash of key and text, rows that repeat both once, and scores every document.
 
 Null and empty text, and text without a word, is bad (score 0). Repeated rows count each. A table in which all
 documents look alike gives the prior as every posterior. Very long texts are used whole.
@@ -149,7 +149,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", per_side: in
 
     patterns = {r.votes: r.n for r in map_rows(docs.select(text), "votes int, n long", count).groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     post, _, _ = accuracies(patterns) if patterns else ({}, None, 0.5)
-    # the share of each side that is sampled, by a hash of the key
+    # the share of each side that is sampled, by a hash of key and text
     sides = [sum(n for c, n in patterns.items() if (post[c] >= 0.5) == y) for y in (False, True)]
     shares = [min(1 << 40, round((1 << 40) * per_side / max(1, n))) for n in sides]
 
@@ -168,9 +168,9 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", per_side: in
 
         return step
 
-    rank = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 40)).alias("rank")
+    rank = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 40)).alias("rank")
     most = max(shares, default=0)
-    chosen = map_rows(docs.select(text, rank).filter(F.col("rank") < most), "at array<int>, x array<float>, p double", sample).toArrow() if patterns else None
+    chosen = map_rows(docs.select(F.col(text).alias("text"), rank).filter(F.col("rank") < most).dropDuplicates(["rank"]), "at array<int>, x array<float>, p double", sample).toArrow() if patterns else None
     rows = [(a.values.to_numpy(), x.values.to_numpy().astype(float), p.as_py()) for a, x, p in zip(chosen["at"], chosen["x"], chosen["p"], strict=True)] if chosen is not None else []
     w = fit(rows).astype(np.float32) if rows else np.zeros(BUCKETS + 1, np.float32)
     w[BUCKETS] += np.log(max(1, sides[1]) / max(1, sides[0])) - np.log(max(1, shares[1] * sides[1]) / max(1, shares[0] * sides[0]))  # the sides' shares as they are in the table
