@@ -7,13 +7,15 @@ table in the shared folder, so that they can be kept in any store that Spark wri
 read_back() parses them.
 
 Null html is an empty payload. Rows with null page_id sort below all others, and refer to the response as the rest
-do. Rows that repeat a page_id and its payload are responses each. An empty table gives no archive and no rows.
+do. Rows that repeat a page_id and its payload are responses each. Blanks and control characters of a URL (line feeds
+would end its header) are written, and read back, in per cent form. An empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -33,12 +35,17 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def plain_uri(url: str) -> str:
+    """A URL that fits one header line: blanks and control characters in per cent form."""
+    return re.sub(r"[\x00-\x20\x7f-\x9f\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(page_id: int | None, url: str, payload: bytes, name: str, revisit: bool, refers_to: int | None) -> bytes:
     """One WARC record, uncompressed. A revisit holds the HTTP head only."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
-    lines += [f"WARC-Target-URI: {url}"] if url else []
+    lines += [f"WARC-Target-URI: {plain_uri(url)}"] if url else []
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{name}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
