@@ -107,12 +107,13 @@ class SumOfSquares:
         """The level whose use makes the sum of squared counts smallest; ties go to the fullest."""
         top = self.capacity - size
         counts = self.counts
-        # moving a window from h to h + size changes the sum by 2 (N[h + size] - N[h] + 1); new and full windows don't count
-        change = counts[size : self.capacity + 1] - counts[: top + 1]
+        # moving a window from h to h + size changes the sum by 2 (N[h + size] - N[h]) + 2; new and full windows don't count, N is 0 there
+        change = 2 * (counts[size : self.capacity + 1] - counts[: top + 1])
+        change[0] -= 1
+        change[top] -= 1
         usable = counts[: top + 1] > 0
         usable[0] = True
         change = np.where(usable, change, np.iinfo(np.int64).max)
-        change[0] += counts[0]  # N[0] counts nothing, but keep the formula plain
         return top - int(np.argmin(change[::-1]))
 
     def place(self, piece: tuple, size: int) -> list | None:
