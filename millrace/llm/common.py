@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,12 +22,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's part of the folder that all executors share: spark.checkpoint.dir or the context's checkpoint folder. Where
+    neither is set a temporary one serves local runs; on a cluster that is an error. The part can be removed when the application has ended."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
