@@ -24,15 +24,19 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_rows, parts_of, texts
 
 #: Numerals that Python counts as word characters without being letters or decimal digits, such as fractions and circled numbers.
-NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-NO_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+NUMERALS = frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+BLANKED = dict.fromkeys(map(ord, NUMERALS), " ")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 MIX = np.uint32(2654435761)
 BUCKETS = 1 << 15
 
 
 def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Hashed character 1- to 3-grams of a text's letters, words being set apart by one space; empty without letters."""
-    words = NO_LETTERS.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii() and not NUMERALS.isdisjoint(text):
+        text = text.translate(BLANKED)
+    words = NO_LETTERS.sub(" ", text).strip()
     if not words:
         return np.zeros(0, np.uint32)
     one = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -58,9 +62,9 @@ class Model:
     temperature: float = 1.0
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.languages or not NO_LETTERS.sub("", text):
-            return "und", 0.0
         at, x = weights(text, self.idf)
+        if not self.languages or not len(at):
+            return "und", 0.0
         p = softmax(x @ self.w[at] / self.temperature)
         k = int(np.argmax(p))
         return self.languages[k], float(p[k])
