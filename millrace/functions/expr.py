@@ -1,13 +1,15 @@
 """Typed expressions: a value column, its logical type, the row errors that it may raise, and whether it is sensitive.
 
-Types must fit exactly; nothing is cast implicitly. An operation that fails on a row gives null and adds an entry to
-the row's errors, so that one bad row never ends a job. All of it is plain columns, so that Catalyst sees through it.
+Types must fit exactly; nothing is cast implicitly. An operation that fails on a row gives null and a row error, so that
+one bad row never ends a job. An error column holds the number of the first error (null without one), which only error routes
+expand to its code and operation: generated code stays small. All of it is plain columns, so that Catalyst sees through it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from millrace.functions import types as T
 
 ERROR = "array<struct<code:string,operation:string>>"
+#: Code and operation of every row error that an expression may raise -> its number, from 1 on.
+NUMBERS: dict[tuple[str, str], int] = {}
 
 
 class SchemaError(TypeError):
@@ -28,6 +32,10 @@ class Expr:
     error: Column | None = None
     sensitive: bool = False
     volatile: bool = False
+    #: The value itself if it is a literal.
+    constant: object = None
+    #: Tables that must be joined before the value is there: functions from a table to one with more columns, by name.
+    lookups: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = ()
 
     # comparisons and logic follow SQL's three values
     def compare(self, other: Expr, how: Callable[[Column, Column], Column], ordered: bool) -> Expr:
@@ -89,24 +97,35 @@ class Expr:
     def __neg__(self) -> Expr:
         if self.type not in T.NUMBERS:
             raise SchemaError("- takes a number")
-        return arithmetic("-", replace(self, value=F.lit(0).cast(T.spark(self.type)), error=None), self)
+        return arithmetic("-", replace(self, value=F.lit(0).cast(T.spark(self.type)), error=None, constant=None), self)
 
     def leak(self) -> Expr:
         """The same value, no longer sensitive."""
         return replace(self, sensitive=False)
 
     def errors(self) -> Column:
-        return self.error if self.error is not None else F.array().cast(ERROR)
+        """The row error as an array, empty without one."""
+        none = F.array().cast(ERROR)
+        return none if self.error is None else F.when(self.error.isNull(), none).otherwise(F.array(expanded(self.error)))
 
 
 def join(kind: str, value: Column, *parts: Expr, failed: Column | None = None, code: str = "", operation: str = "") -> Expr:
     """An expression made of parts: their errors together, and one of its own where failed holds."""
     errors = [p.error for p in parts if p.error is not None]
     if failed is not None:
-        entry = F.array(F.struct(F.lit(code).alias("code"), F.lit(operation).alias("operation"))).cast(ERROR)
-        errors.append(F.when(failed, entry).otherwise(F.array().cast(ERROR)))
-    error = None if not errors else errors[0] if len(errors) == 1 else F.concat(*errors)
-    return Expr(value, kind, error, any(p.sensitive for p in parts), any(p.volatile for p in parts))
+        errors.append(F.when(failed, F.lit(NUMBERS.setdefault((code, operation), len(NUMBERS) + 1))))
+    lookups = tuple(dict(x for p in parts for x in p.lookups).items())
+    return Expr(value, kind, first_error(errors), any(p.sensitive for p in parts), any(p.volatile for p in parts), lookups=lookups)
+
+
+def first_error(errors: Sequence[Column]) -> Column | None:
+    return None if not errors else errors[0] if len(errors) == 1 else F.coalesce(*errors)
+
+
+def expanded(number: Column) -> Column:
+    """Code and operation of an error's number."""
+    entries = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(o).alias("operation")) for c, o in NUMBERS])
+    return F.get(entries, number - 1)
 
 
 def given(*parts: Expr) -> Column:
@@ -126,7 +145,7 @@ def within(value: Column, kind: str) -> Column:
     """The value in the type of kind, or null if that type doesn't hold it."""
     low, high = T.limits(kind)
     wide = value.cast("decimal(38,0)")
-    return F.when(wide.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)")), value).try_cast(T.spark(kind))
+    return F.when(wide.between(F.lit(Decimal(low)).cast("decimal(38,0)"), F.lit(Decimal(high)).cast("decimal(38,0)")), value).try_cast(T.spark(kind))
 
 
 def arithmetic(sign: str, a: Expr, b: Expr) -> Expr:
@@ -135,12 +154,14 @@ def arithmetic(sign: str, a: Expr, b: Expr) -> Expr:
         raise SchemaError(f"{sign} takes two numbers of one type, not {a.type} and {b.type}")
     x, y, there = a.value, b.value, given(a, b)
     if a.type in T.FLOATS:
-        raw = {"+": x + y, "-": x - y, "*": x * y, "/": F.when(y != 0, x / y), "%": F.when(y != 0, x % y)}[sign]
+        raw = {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y), "%": F.try_mod(x, y)}[sign]
         value = finite(raw).cast(T.spark(a.type))
         return join(a.type, value, a, b, failed=there & value.isNull(), code="invalid_argument", operation=sign)
     if sign in "/%":
         zero = there & (y == 0)
-        raw = F.when(y != 0, F.call_function("div", x, y) if sign == "/" else F.try_mod(x, y))
+        # U64 is a decimal, whose division would round: what divides without a rest doesn't
+        whole = F.try_divide(x - F.try_mod(x, y), y) if a.type == "U64" else F.call_function("div", x, y)
+        raw = F.when(y != 0, whole if sign == "/" else F.try_mod(x, y))
         low = T.limits(a.type)[0]
         over = there & (x == F.lit(low).cast(T.spark(a.type))) & (y == -1) if a.type[0] == "I" else F.lit(False)
         value = F.when(~over, raw).cast(T.spark(a.type)) if sign == "/" else F.when(over, F.lit(0)).otherwise(raw).cast(T.spark(a.type))
@@ -159,7 +180,8 @@ def field(name: str, kind: str, sensitive: bool = False) -> Expr:
 def lit(value: int | float | bool | str, kind: str | None = None) -> Expr:
     """A literal: whole numbers are I64, others F64, unless kind says otherwise."""
     own = "BOOL" if isinstance(value, bool) else "I64" if isinstance(value, int) else "F64" if isinstance(value, float) else "STRING"
-    return Expr(F.lit(value).cast(T.spark(kind or own)), kind or own)
+    large = isinstance(value, int) and not -(2**63) <= value < 2**63
+    return Expr(F.lit(Decimal(value) if large else value).cast(T.spark(kind or own)), kind or own, constant=value)
 
 
 def null(kind: str) -> Expr:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
+import itertools
+import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import types as T
-from millrace.functions.expr import ERROR, Expr, SchemaError, finite, given, join, within
+from millrace.functions.expr import Expr, SchemaError, finite, first_error, given, join, within
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"\p{IsWhite_Space}+"
@@ -52,6 +59,18 @@ def simple(name: str, kinds: tuple[str, ...], result: str, make: Callable[..., C
 
 
 INT = T.INTEGERS
+#: Longest text, in bytes, that repeat, lpad and rpad make; beyond it they give null and a row error.
+LONGEST = 16 << 20
+SERIAL = itertools.count()
+
+
+def small(n: Expr) -> Column:
+    """An integer argument as a 32-bit one; larger ones count as the largest, which no text or list reaches."""
+    wide = n.value if n.type == "U64" else n.value.cast("bigint")
+    kind = T.spark("U64") if n.type == "U64" else "bigint"
+    return F.greatest(F.least(wide, F.lit(2**31 - 1).cast(kind)), F.lit(1 - 2**31).cast(kind)).cast("int")
+
+
 #: Functions of fixed types: names, argument types, result type, column.
 for _names, _kinds, _result, _make in (
     (("lower",), ("STRING",), "STRING", lambda x: F.translate(x, UPPER, LOWER)),
@@ -69,12 +88,20 @@ for _names, _kinds, _result, _make in (
     (("ends_with",), ("STRING", "STRING"), "BOOL", F.endswith),
     (("strpos",), ("STRING", "STRING"), "I64", lambda x, y: F.instr(x, y).cast("bigint")),
     (("translate",), ("STRING", "STRING", "STRING"), "STRING", lambda x, a, b: F.call_function("translate", x, a, b)),
-    (("repeat",), ("STRING", INT), "STRING", lambda x, n: F.call_function("repeat", x, n.cast("int"))),
 ):
     for _name in _names:
         simple(_name, _kinds, _result, _make)
 
 
+@function()
+def repeat(x: Expr, n: Expr) -> Expr:
+    """Empty below 1. A result of more than LONGEST bytes is a row error."""
+    expect("repeat", [x, n], "STRING", INT)
+    k = F.greatest(small(n), F.lit(0))
+    fits = F.octet_length(x.value).cast("bigint") * k <= LONGEST
+    return join("STRING", F.when(fits, F.call_function("repeat", x.value, k)), x, n, failed=given(x, n) & ~fits, code="invalid_argument", operation="repeat")
+
+
 @function()
 def initcap(x: Expr) -> Expr:
     """A capital after every character that is no letter or digit."""
@@ -85,7 +112,7 @@ def initcap(x: Expr) -> Expr:
 
 def side(x: Expr, n: Expr, left: bool) -> Expr:
     expect("left" if left else "right", [x, n], "STRING", INT)
-    size, k = F.char_length(x.value), n.value.cast("int")
+    size, k = F.char_length(x.value), small(n)
     take = F.greatest(F.when(k < 0, size + k).otherwise(F.least(k, size)), F.lit(0))
     return join("STRING", F.substring(x.value, F.lit(1) if left else size - take + 1, take), x, n)
 
@@ -107,8 +134,8 @@ def substr(x: Expr, start: Expr, size: Expr | None = None) -> Expr:
     """From a place, which is 1 at least, on."""
     args = [x, start] if size is None else [x, start, size]
     expect("substr", args, "STRING", *[INT] * (len(args) - 1))
-    count = F.lit(1 << 30) if size is None else F.greatest(size.value.cast("int"), F.lit(0))
-    return join("STRING", F.substring(x.value, F.greatest(start.value.cast("int"), F.lit(1)), count), *args)
+    count = F.lit(1 << 30) if size is None else F.greatest(small(size), F.lit(0))
+    return join("STRING", F.substring(x.value, F.greatest(small(start), F.lit(1)), count), *args)
 
 
 @function()
@@ -128,8 +155,11 @@ def replace(x: Expr, old: Expr, new: Expr) -> Expr:
 
 def pad(name: str, x: Expr, n: Expr, fill: Expr) -> Expr:
     expect(name, [x, n, fill], "STRING", INT, "STRING")
-    size = F.greatest(n.value.cast("int"), F.lit(0))
-    return join("STRING", F.when(fill.value == "", F.when(size == 0, "").otherwise(F.substring(x.value, F.lit(1), size))).otherwise(F.call_function(name, x.value, size, fill.value)), x, n, fill)
+    size = F.greatest(small(n), F.lit(0))
+    bare = F.when(size == 0, "").otherwise(F.substring(x.value, F.lit(1), size))
+    fits = (size <= LONGEST // 4) | (fill.value == "")
+    value = F.when(fill.value == "", bare).when(fits, F.call_function(name, x.value, size, fill.value))
+    return join("STRING", value, x, n, fill, failed=given(x, n, fill) & ~fits, code="invalid_argument", operation=name)
 
 
 @function()
@@ -146,7 +176,7 @@ def rpad(x: Expr, n: Expr, fill: Expr) -> Expr:
 def split_part(x: Expr, by: Expr, n: Expr) -> Expr:
     """The n-th part; empty below 1 and past the end."""
     expect("split_part", [x, by, n], "STRING", "STRING", INT)
-    k = n.value.cast("int")
+    k = small(n)
     whole = F.when(k == 1, x.value).otherwise("")
     part = F.when(k < 1, F.lit("")).when(by.value == "", whole).otherwise(F.split_part(x.value, by.value, F.greatest(k, F.lit(1))))
     return join("STRING", F.when(given(x, by, n), part), x, by, n)
@@ -164,23 +194,68 @@ def to_hex(x: Expr) -> Expr:
     return join("STRING", F.lower(F.hex(value if bits == 64 else value.bitwiseAND((1 << bits) - 1))), x)
 
 
+def groups_of(pattern: object) -> int | None:
+    """The number of groups of a literal pattern by the JVM's own compiler, or -1 if it is no pattern; None if that can't be told here."""
+    context = SparkContext._active_spark_context
+    if not isinstance(pattern, str) or context is None:
+        return None
+    try:
+        return context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except (Py4JJavaError, PySparkException):
+        return -1
+
+
+def matching(name: str, kind: str, x: Expr, pattern: Expr, make: Callable[[Column], Column], *more: Expr, fails: Column | None = None) -> Expr:
+    """A function of a pattern: a bad pattern is a row error. Literal patterns are checked once, others row by row in the JVM."""
+    groups = groups_of(pattern.constant)
+    good = F.lit(groups >= 0) if groups is not None else F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern.value).isNotNull()
+    good = good if fails is None else good & ~fails
+    value = make(pattern.value) if groups is not None and groups >= 0 and fails is None else F.lit(None).cast(T.spark(kind)) if groups == -1 else F.when(good, make(pattern.value))
+    sure = groups is not None and groups >= 0 and fails is None
+    return join(kind, value, x, pattern, *more, failed=None if sure else given(x, pattern, *more) & ~good, code="invalid_argument", operation=name)
+
+
 @function()
 def regexp_like(x: Expr, pattern: Expr) -> Expr:
     expect("regexp_like", [x, pattern], "STRING", "STRING")
-    return join("BOOL", F.regexp_like(x.value, pattern.value), x, pattern)
+    return matching("regexp_like", "BOOL", x, pattern, lambda p: F.regexp_like(x.value, p))
+
+
+def template(new: str, groups: int, names: set[str]) -> str:
+    """A literal replacement, where $1, $name and ${name} are groups (empty if there is no such group) and $$ a dollar, as the JVM writes it."""
+
+    def one(m: re.Match) -> str:
+        if m[0] in {"\\", "$"}:
+            return "\\" + m[0]
+        if m[0] == "$$":
+            return "\\$"
+        name = m[1] or m[2]
+        if name.isdecimal():
+            follows = m.string[m.end() : m.end() + 1]
+            return f"${name}" + ("\\" if follows.isdecimal() else "") if int(name) <= groups else ""
+        return f"${{{name}}}" if name in names else ""
+
+    return re.sub(r"\$\$|\$(?:\{(\w+)\}|([0-9A-Za-z_]+))|\$|\\", one, new)
 
 
 @function()
 def regexp_replace(x: Expr, pattern: Expr, new: Expr) -> Expr:
+    """All matches. In a literal replacement $1, $name and ${name} stand for groups of a literal pattern; in others only $0 does, and further dollars are row errors."""
     expect("regexp_replace", [x, pattern, new], "STRING", "STRING", "STRING")
-    return join("STRING", F.regexp_replace(x.value, pattern.value, new.value), x, pattern, new)
+    groups = groups_of(pattern.constant)
+    if groups is not None and isinstance(new.constant, str):
+        names = set(re.findall(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern.constant))
+        written = F.lit(template(new.constant, groups, names))
+        return matching("regexp_replace", "STRING", x, pattern, lambda p: F.regexp_replace(x.value, p, written), new)
+    plain = F.replace(new.value, F.lit("\\"), F.lit("\\\\"))
+    return matching("regexp_replace", "STRING", x, pattern, lambda p: F.regexp_replace(x.value, p, plain), new, fails=F.replace(new.value, F.lit("$0"), F.lit("")).contains("$"))
 
 
 @function()
 def regexp_substr(x: Expr, pattern: Expr) -> Expr:
     """The first match or null."""
     expect("regexp_substr", [x, pattern], "STRING", "STRING")
-    return join("STRING", F.regexp_substr(x.value, pattern.value), x, pattern)
+    return matching("regexp_substr", "STRING", x, pattern, lambda p: F.regexp_substr(x.value, p))
 
 
 @function()
@@ -228,7 +303,7 @@ FUNCTIONS["pow"] = FUNCTIONS["power"] = lambda x, y: real("pow", F.pow, x, y)
 @function()
 def log(x: Expr, y: Expr | None = None) -> Expr:
     """To base 10, or of y to base x."""
-    return real("log", F.log10, x) if y is None else real("log", lambda b, v: F.ln(v) / F.ln(b), x, y)
+    return real("log", F.log10, x) if y is None else real("log", lambda b, v: F.try_divide(F.ln(v), F.ln(b)), x, y)
 
 
 def rounded(name: str, make: Callable[[Column], Column], x: Expr) -> Expr:
@@ -281,7 +356,7 @@ def last(x: Expr) -> Expr:
 @function()
 def nth(x: Expr, n: Expr) -> Expr:
     """The n-th from 0 on; null outside."""
-    return join(items("nth", x), F.get(x.value, n.value.cast("int")), x, n)
+    return join(items("nth", x), F.get(x.value, small(n)), x, n)
 
 
 @function()
@@ -319,6 +394,16 @@ def read_headers(name: Expr) -> Expr:
     return join("VEC<STRING>", F.transform(F.filter(F.col("headers"), lambda h: h["key"] == name.value), lambda h: h["value"]), name)
 
 
+def lookup_hash_map(table: DataFrame, table_key: str, key: Expr, wanted: str, order: str) -> Expr:
+    """The field of a hash map's entry for a key, compared as text; null without one. Of equal keys the entry of the highest order wins."""
+    from millrace.operators.nodes import lookup
+
+    name = f"__map_{next(SERIAL)}"
+    joined = lambda df: lookup(df, table.withColumn(name, F.col(wanted)), key.value, table_key, [name], order)
+    e = join(T.logical(dict(table.dtypes)[wanted]), F.col(name), key)
+    return dataclasses.replace(e, lookups=(*e.lookups, (name, joined)))
+
+
 def array(*args: Expr) -> Expr:
     """A list of values of one type."""
     if not args or len({a.type for a in args}) > 1:
@@ -335,14 +420,19 @@ def case(*arms: tuple[Expr, Expr], other: Expr | None = None, of: Expr | None =
     if any(t.type != "BOOL" for t in tests):
         raise SchemaError("conditions are BOOL")
     parts = [*tests, *[v for _, v in arms], *([other] if other else [])]
-    none = F.array().cast(ERROR)
     value = other.value if other else F.lit(None).cast(T.spark(next(iter(kinds))))
-    error = other.errors() if other else none
+    error = other.error if other else None
     for test, (_, result) in zip(reversed(tests), reversed(arms), strict=True):
         value = F.when(test.value, result.value).otherwise(value)
-        error = F.concat(test.errors(), F.when(test.value, result.errors()).otherwise(error))
-    fallible = any(p.error is not None for p in parts)
-    return Expr(value, next(iter(kinds)), error if fallible else None, any(p.sensitive for p in parts), any(p.volatile for p in parts))
+        if result.error is not None or error is not None:
+            taken = F.when(test.value, F.lit(None).cast("int") if result.error is None else result.error)
+            error = taken if error is None else taken.otherwise(error)
+        error = first_error([e for e in (test.error, error) if e is not None])
+    return replace_error(join(next(iter(kinds)), value, *parts), error)
+
+
+def replace_error(e: Expr, error: Column | None) -> Expr:
+    return dataclasses.replace(e, error=error)
 
 
 def if_(test: Expr, yes: Expr, no: Expr | None = None) -> Expr:
@@ -353,8 +443,17 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2
 
 
 def plain_number(x: Column) -> Column:
-    """A float without exponent and without a zero fraction."""
-    return F.regexp_replace(F.regexp_replace(x.cast("double").cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A float's shortest digits without exponent and without a zero fraction."""
+    text = x.cast("string")
+    sign, size = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(text, F.lit("-"))
+    mantissa, power = F.split_part(size, F.lit("E"), F.lit(1)), F.split_part(size, F.lit("E"), F.lit(2)).try_cast("int")
+    whole = F.regexp_replace(mantissa, r"\.0$", "")
+    digits = F.replace(whole, F.lit("."), F.lit(""))
+    below = F.concat(F.lit("0."), F.call_function("repeat", F.lit("0"), -power - 1), digits)
+    at = F.greatest(power + 1, F.char_length(digits))
+    filled = F.rpad(digits, at, F.lit("0"))
+    above = F.concat(F.substring(filled, F.lit(1), power + 1), F.when(at > power + 1, F.concat(F.lit("."), F.substring(filled, power + 2, at))).otherwise(""))
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, F.when(power.isNull(), whole).when(power < 0, below).otherwise(above)))
 
 
 def cast(x: Expr, to: str) -> Expr:
@@ -377,9 +476,12 @@ def cast(x: Expr, to: str) -> Expr:
         elif to in INT:
             value = within(F.when(a.rlike(r"^[+-]?\d{1,20}$"), a).try_cast("decimal(38,0)"), to)
         else:
-            value = finite(F.when(~a.rlike(r"^\s|\s$|[dDfF]$"), a).try_cast("double")).cast(spark)
+            value = finite(F.when(a.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), a).try_cast("double").cast(spark))
     elif x.type in T.FLOATS and to in INT:
-        value = within(F.when(F.abs(a) < 1e19, F.signum(a) * F.floor(F.abs(a.cast("double")))).try_cast("decimal(38,0)"), to)
+        size = F.abs(a.cast("double"))
+        high = F.floor(size / 2.0**32)  # exact, as is the rest: no digit is lost on the way through decimals
+        whole = F.when(size < 1e20, high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.floor(size - high * 2.0**32).cast("decimal(10,0)"))
+        value = within(F.when(a < 0, -whole).otherwise(whole), to)
     elif x.type == "DATETIME" and to in INT:
         value = within(F.unix_micros(a).cast("decimal(38,0)") * 1000, to)
     elif x.type in INT and to == "DATETIME":
@@ -399,7 +501,7 @@ def cast(x: Expr, to: str) -> Expr:
 
 def udf(name: str, body: Callable[..., pd.Series], args: tuple[str, ...], returns: str, optional: tuple[bool, ...] = (), volatile: bool = False) -> Callable[..., Expr]:
     """Register a vectorised user function of 1 to 8 arguments. Rows with null in an argument that isn't optional give
-    null without its seeing them; a row for which it gives null is an error."""
+    null without its seeing them; a row for which it gives null, or raises, is an error. A batch that raises is tried again row by row."""
     if not 1 <= len(args) <= 8:
         raise SchemaError("a user function takes 1 to 8 arguments")
     spared = [k for k in range(len(args)) if not (optional[k] if k < len(optional) else False)]
@@ -410,9 +512,19 @@ def udf(name: str, body: Callable[..., pd.Series], args: tuple[str, ...], return
             there &= series[k].notna()
         out = pd.Series([None] * len(there), index=there.index, dtype=object)
         if there.any():
-            out[there] = body(*[s[there] for s in series])
+            try:
+                out[there] = body(*[s[there] for s in series])
+            except Exception:  # noqa: BLE001 - whatever a user's code raises is an error of those rows, not of the job
+                for k in np.flatnonzero(there.to_numpy()):
+                    out.iloc[k] = alone(*[s.iloc[[k]] for s in series])
         return out
 
+    def alone(*series: pd.Series) -> object:
+        try:
+            return pd.Series(body(*series)).iloc[0]
+        except Exception:  # noqa: BLE001
+            return None
+
     run.__annotations__ = {"series": pd.Series, "return": pd.Series}
     vectorised = F.pandas_udf(run, T.spark(returns))
     if volatile:

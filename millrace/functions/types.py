@@ -22,9 +22,15 @@ def limits(kind: str) -> tuple[int, int]:
 
 
 def element(kind: str) -> str | None:
-    """Element type of VEC<T> or ARRAY<T,n>, else None."""
-    m = re.fullmatch(r"VEC<(.+)>|ARRAY<(.+),\d+>", kind)
-    return (m[1] or m[2]) if m else None
+    """Element type of VEC<T> or ARRAY<T,n>, else None. ARRAY<T,n,m> holds n of ARRAY<T,m>."""
+    m = re.fullmatch(r"VEC<(.+)>|ARRAY<(.+?),\d+((?:,\d+)*)>", kind)
+    return None if not m else m[1] or (f"ARRAY<{m[2]}{m[3]}>" if m[3] else m[2])
+
+
+def length(kind: str) -> int | None:
+    """The exact length of an ARRAY, else None."""
+    m = re.fullmatch(r"ARRAY<.+?,(\d+)(?:,\d+)*>", kind)
+    return int(m[1]) if m else None
 
 
 def spark(kind: str) -> str:

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import types as T
-from millrace.functions.expr import Expr, SchemaError, null
+from millrace.functions.expr import Expr, SchemaError, expanded, first_error, null
 
 Message = Mapping[str, Expr]
 Make = Callable[[Message], Expr]
@@ -79,6 +79,8 @@ def apply(df: DataFrame, message: Message, route: Route, keep: tuple[str, ...] =
 
     def stage(e: Expr, name: str) -> Expr:
         nonlocal staged
+        for column, look in e.lookups:
+            staged = staged if column in staged.columns else look(staged)
         staged = staged.withColumns({name: e.value} | ({f"{name}_error": e.error} if e.error is not None else {}))
         if e.error is not None:
             errors.append(F.col(f"{name}_error"))
@@ -96,12 +98,12 @@ def apply(df: DataFrame, message: Message, route: Route, keep: tuple[str, ...] =
     select = [*[F.col(k) for k in keep], *[e.value.alias(n) for n, e in done.items()]]
     if not errors:
         return Routed((staged.filter(passes) if route.where else staged).select(*select))
-    found: Column = F.concat(*errors) if len(errors) > 1 else errors[0]
-    staged = staged.withColumn("__error", F.get(found, 0))
+    staged = staged.withColumn("__error", first_error(errors))
     rows = staged.filter(F.col("__error").isNull() & passes).select(*select)
     if route.errors is None:
         return Routed(rows)
-    seen = {**message, "error_code": Expr(F.col("__error.code"), "STRING"), "error_operation": Expr(F.col("__error.operation"), "STRING"), **{f"partial_{n}": e for n, e in done.items()}}
+    entry = expanded(F.col("__error"))
+    seen = {**message, "error_code": Expr(entry["code"], "STRING"), "error_operation": Expr(entry["operation"], "STRING"), **{f"partial_{n}": e for n, e in done.items()}}
     sent: dict[str, Expr] = {}
     for name, make in route.errors:
         sent[name] = make({**seen, **sent})
