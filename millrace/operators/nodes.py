@@ -5,12 +5,14 @@ Time is a column (event time), arrival a sequence column that breaks ties; a bra
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import Expr, SchemaError, of_table
+from millrace.operators import stateful
 from millrace.operators.route import Message, Route, Routed, apply
 
 
@@ -66,10 +68,11 @@ def with_state(df: DataFrame, state: DataFrame, branch: Sequence[str], time: str
     kind = f"struct<{','.join(f'`{n}`:{k}' for n, k in state.dtypes if n in fields)}>"
     updates = state.select(*branch, time, F.lit(0).alias("__side"), packed.alias("__state"), F.lit(None).cast(f"struct<{','.join(f'`{n}`:{k}' for n, k in df.dtypes)}>").alias("__row"))
     rows = df.select(*branch, time, F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__state"), F.struct(*[F.col(c) for c in df.columns]).alias("__row"))
-    w = Window.partitionBy(*branch).orderBy(time, "__side")
-    seen = F.last("__state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if mode == "wait":
-        seen = F.coalesce(seen, F.first("__state", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w = Window.partitionBy(*branch)
+    nearest = lambda *order: F.last("__state", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    seen = nearest(F.asc(time), F.asc("__side"))
+    if mode == "wait":  # backwards in time the next state is a last one too: one pass, whatever the branch's length
+        seen = F.coalesce(seen, nearest(F.desc(time), F.desc("__side")))
     out = updates.unionByName(rows).withColumn("__seen", seen).filter("__side = 1")
     if mode != "default":
         out = out.filter(F.col("__seen").isNotNull())
@@ -81,11 +84,11 @@ def with_state(df: DataFrame, state: DataFrame, branch: Sequence[str], time: str
 BROADCAST_BYTES = 32 << 20
 
 
-def lookup(df: DataFrame, table: DataFrame, key: Column, table_key: str, fields: Sequence[str], order: str | None = None, prefix: str = "") -> DataFrame:
-    """Left join with a hash map on the key's text; of equal keys the later entry wins. Missing keys give null."""
+def lookup(df: DataFrame, table: DataFrame, key: Column, table_key: str, fields: Sequence[str], order: str, prefix: str = "") -> DataFrame:
+    """Left join with a hash map on the key's text; of equal keys the later entry, that of the highest order, wins. Missing keys give null."""
     entry = F.struct(*[F.col(f).alias(prefix + f) for f in fields])
     text = F.col(table_key).cast("string")
-    dim = table.groupBy(text.alias("__key")).agg(F.max_by(entry, F.col(order) if order else F.monotonically_increasing_id()).alias("__entry"))
+    dim = table.groupBy(text.alias("__key")).agg(F.max_by(entry, F.col(order)).alias("__entry"))
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     dim = F.broadcast(dim) if size <= BROADCAST_BYTES else dim
     joined = df.withColumn("__text", key.cast("string")).join(dim, F.col("__text") == F.col("__key"), "left")
@@ -102,14 +105,18 @@ def rekey(df: DataFrame, branch: Mapping[str, Column] | None) -> DataFrame:
     return out
 
 
-def ticks(state: DataFrame, branch: Sequence[str], time: str, every: str, start: Column, end: Column) -> DataFrame:
-    """Generator: at every tick one row for each branch that has state by then, with its latest state."""
+def ticks(state: DataFrame, branch: Sequence[str], time: str, every_seconds: int, start: Column, end: Column) -> DataFrame:
+    """Generator: at every tick from start to end one row for each branch that has state by then, with its latest state. A state makes
+    its own ticks only: those from its time to before the next state's."""
     w = Window.partitionBy(*branch).orderBy(time)
-    spans = state.withColumn("__until", F.lead(time).over(w))
-    step = F.expr(f"INTERVAL {every}")
-    # the first tick at or after a state's time, up to the one before the next state
-    all_ticks = F.filter(F.sequence(start, end, step), lambda t: (t >= F.col(time)) & (F.col("__until").isNull() | (t < F.col("__until"))))
-    return spans.select(*branch, F.explode(all_ticks).alias("tick"), *[F.col(c) for c in state.columns if c not in (*branch, time)])
+    step = every_seconds * 1_000_000
+    number = lambda t: F.timestamp_diff("MICROSECOND", start, t)
+    first = F.greatest(F.ceil(number(F.col(time)) / step), F.lit(0))
+    last = F.floor(number(end) / step)
+    last = F.when(F.col("__until").isNotNull(), F.least(last, F.ceil(number(F.col("__until")) / step) - 1)).otherwise(last)
+    spans = state.withColumn("__until", F.lead(time).over(w)).withColumns({"__first": first, "__last": last}).filter("__first <= __last")
+    made = spans.withColumn("__n", F.explode(F.sequence("__first", "__last")))
+    return made.select(*branch, F.timestamp_add("MICROSECOND", F.col("__n") * step, start).alias("tick"), *[F.col(c) for c in state.columns if c not in (*branch, time)])
 
 
 def admitted(df: DataFrame, time: str, start: Column, period_seconds: int, skew_seconds: float) -> DataFrame:
@@ -143,5 +150,49 @@ def lives(df: DataFrame, branch: Sequence[str], time: str, seq: str, ttl_seconds
 
 
 def most_recent(state: DataFrame, time: str, seq: str, instances: int) -> DataFrame:
-    """MAX INSTANCES … EVICT LRU: the branches used last. A top-k, so each task sends no more rows than that."""
+    """The branches used last. A top-k, so each task sends no more rows than that."""
     return state.orderBy(F.desc(time), F.desc(seq)).limit(instances)
+
+
+def evictions(df: DataFrame, branch: Sequence[str], time: str, seq: str, instances: int, number: str = "life", segments: int = 64) -> DataFrame:
+    """MAX INSTANCES … EVICT LRU: a branch that isn't among the instances used last starts anew, its state being lost. number counts a
+    branch's lives from 0; state is kept by branch and life.
+
+    The order of all rows decides, yet they never meet in one task: time is cut into segments at quantiles (of 1 in 1,000), each
+    segment's most recent branches are handed on to the later ones, and each runs over its own rows from what was in use at its beginning. A task holds instances
+    branches, and reads as many for each segment before its own."""
+    keys, at = F.struct(*[F.col(c) for c in branch]), F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = df.select(at.alias("at")).approxQuantile("at", [k / segments for k in range(1, segments)], 0.001) if segments > 1 else []
+    cut = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
+    rows = df.withColumn("__key", F.to_json(keys)).withColumn("__at", at).withColumn("__segment", F.size(F.filter(cut, lambda c: c <= F.col("__at"))))
+    used = rows.groupBy("__segment", "__key").agg(F.max(F.struct("__at", F.col(seq).alias("__seq"))).alias("__last"))
+    recent = used.withColumn("__place", F.row_number().over(Window.partitionBy("__segment").orderBy(F.desc("__last")))).filter(F.col("__place") <= instances)
+    later = recent.withColumn("__to", F.explode(F.sequence(F.col("__segment") + 1, F.lit(segments - 1)))).filter(F.col("__segment") < segments - 1)
+    held = later.groupBy(F.col("__to").alias("__segment"), "__key").agg(F.max("__last").alias("__last"))
+    start = held.select("__segment", "__key", F.lit(0).alias("__side"), F.col("__last.__at").alias("__at"), F.col("__last.__seq").alias("__order"))
+    own = rows.select("__segment", "__key", F.lit(1).alias("__side"), "__at", F.col(seq).alias("__order"))
+    fresh = stateful.guest(start.unionByName(own), ["__segment"], ["__side", "__at", "__order"], lambda: Recent(instances), "__key string, __order long, __fresh int")
+    marked = rows.join(fresh.withColumnRenamed("__order", seq), ["__key", seq])
+    w = Window.partitionBy(*branch).orderBy(time, seq)
+    return marked.withColumn(number, F.sum("__fresh").over(w) - 1).select(*df.columns, number)
+
+
+class Recent:
+    """The branches in use, least recently used first. A branch's first row, and one after its eviction, is fresh."""
+
+    def __init__(self, instances: int):
+        self.instances = instances
+        self.order: OrderedDict[str, None] = OrderedDict()
+
+    def see(self, row: dict) -> Iterator[dict]:
+        key = row["__key"]
+        here = key in self.order
+        self.order[key] = None
+        self.order.move_to_end(key)
+        if len(self.order) > self.instances:
+            self.order.popitem(last=False)
+        if row["__side"]:
+            yield {"__key": key, "__order": row["__order"], "__fresh": int(not here)}
+
+    def end(self) -> Iterator[dict]:
+        return iter(())

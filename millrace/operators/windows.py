@@ -14,7 +14,8 @@ from millrace.functions.expr import SchemaError
 
 @dataclass(frozen=True)
 class Aggregate:
-    """name: count, first, last, min, max, sum, or percentile_linear_histogram with percent, buckets, low and high."""
+    """name: count, first, last, min, max, sum, or percentile_linear_histogram with percent, buckets, low, high and delay_seconds, for which
+    values that a step removed stay in the histogram (stateful.windows() only)."""
 
     name: str
     of: str
@@ -22,12 +23,15 @@ class Aggregate:
     buckets: int = 10
     low: float = 0.0
     high: float = 100.0
+    delay_seconds: float = 0.0
 
     def __post_init__(self) -> None:
         if self.name not in {"count", "first", "last", "min", "max", "sum", "percentile_linear_histogram"}:
             raise SchemaError(f"no aggregate {self.name}")
         if self.name == "percentile_linear_histogram" and not (0 <= self.percent <= 100 and self.buckets > 0 and self.low < self.high):
             raise SchemaError("percent lies in 0 to 100, buckets are positive and low is below high")
+        if self.delay_seconds < 0 or (self.delay_seconds and self.name != "percentile_linear_histogram"):
+            raise SchemaError("only a histogram has a delay, and none below 0")
 
 
 def histogram_percentile(values: Column, a: Aggregate) -> Column:
@@ -54,11 +58,17 @@ def column(a: Aggregate, kind: str, order: Sequence[str], over=None) -> Column:
     return on({"count": F.count, "min": F.min, "max": F.max}[a.name](c))
 
 
+def undelayed(aggregates: Mapping[str, Aggregate]) -> None:
+    if any(a.delay_seconds for a in aggregates.values()):
+        raise SchemaError("histograms with a delay need stateful.windows()")
+
+
 def by_messages(df: DataFrame, branch: Sequence[str], order: Sequence[str], width: int, step: int, aggregates: Mapping[str, Aggregate], number: str = "window") -> DataFrame:
     """WIDTH width MESSAGES STEP step MESSAGES: a window each time the buffer is full; rows at the end that fill none are left.
     number counts a branch's windows from 0."""
     if not 0 < step <= width:
         raise SchemaError("a step is at least 1 and no wider than the window")
+    undelayed(aggregates)
     kinds = dict(df.dtypes)
     place = F.row_number().over(Window.partitionBy(*branch).orderBy(*order))
     numbered = df.withColumn("__n", place)
@@ -74,6 +84,7 @@ def by_messages(df: DataFrame, branch: Sequence[str], order: Sequence[str], widt
 
 def by_time(df: DataFrame, branch: Sequence[str], time: str, order: Sequence[str], width: str, step: str, aggregates: Mapping[str, Aggregate]) -> DataFrame:
     """Windows aligned to the epoch, as Spark's own are; also for streams with a watermark."""
+    undelayed(aggregates)
     kinds = dict(df.dtypes)
     made = df.groupBy(*branch, F.window(F.col(time).cast("timestamp"), width, step).alias("__w")).agg(*[column(a, kinds[a.of], order).alias(n) for n, a in aggregates.items()])
     return made.select(*branch, F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), *aggregates)

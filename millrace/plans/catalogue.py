@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import Expr, array, call, case, cast, if_, lit, of_table, udf
+from millrace.functions import lookup_hash_map as looked_up
 from millrace.operators import nodes, stateful, windows
 from millrace.operators.route import Route, schema
 from millrace.operators.windows import Aggregate
-from millrace.sources import codecs
+from millrace.sources import codecs, connectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,28 +291,40 @@ w AS (SELECT user_id, min(ts) AS start FROM e GROUP BY user_id
 UNION ALL SELECT user_id, start FROM (SELECT w.user_id, e.ts AS start, row_number() OVER (PARTITION BY w.user_id ORDER BY e.ts) AS k FROM w JOIN e ON e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 1 DAY) WHERE k = 1)
 SELECT w.user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events, CAST(sum(event_id) AS BIGINT) AS total FROM w JOIN e ON e.user_id = w.user_id AND e.ts >= start AND e.ts < start + INTERVAL 1 DAY GROUP BY w.user_id, start""")
 def window_duration_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda rows, _: {"user_id": rows[0]["user_id"], "start": str(rows[0]["ts"])[:19], "n_events": len(rows), "total": sum(r["event_id"] for r in rows)}
+    make = lambda rows, *_: {"user_id": rows[0]["user_id"], "start": str(rows[0]["ts"])[:19], "n_events": len(rows), "total": sum(r["event_id"] for r in rows)}
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     return stateful.anchored_windows(events, ["user_id"], "ts", "event_id", "user_id long, start string, n_events long, total long", make, 86400, 86400)
 
 
-@query()
+#: One action at a time: close by messages, close by time, or take the next event.
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id AS id, ts::TIMESTAMP AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::STRUCT(id BIGINT, ts TIMESTAMP)[] AS buf, NULL::TIMESTAMP AS start, NULL::STRUCT(first_event BIGINT, n_events BIGINT, total BIGINT, closed_at TIMESTAMP) AS made FROM r
+UNION ALL SELECT user_id, CASE WHEN act = 'take' THEN n + 1 ELSE n END, CASE act WHEN 'take' THEN list_append(buf, {'id': id, 'ts': ts}) WHEN 'count' THEN buf[3:] ELSE list_filter(buf, lambda x: x.ts >= start + INTERVAL 12 HOUR) END,
+CASE act WHEN 'take' THEN coalesce(start, ts) WHEN 'count' THEN buf[3].ts ELSE CASE WHEN len(list_filter(buf, lambda x: x.ts >= start + INTERVAL 12 HOUR)) > 0 THEN start + INTERVAL 12 HOUR END END,
+CASE WHEN act <> 'take' THEN {'first_event': buf[1].id, 'n_events': len(buf)::BIGINT, 'total': list_sum(list_transform(buf, lambda x: x.id))::BIGINT, 'closed_at': CASE WHEN act = 'count' THEN buf[-1].ts ELSE start + INTERVAL 1 DAY END} END
+FROM (SELECT s.*, r.id, r.ts, CASE WHEN len(buf) >= 4 THEN 'count' WHEN len(buf) > 0 AND (r.ts IS NULL OR r.ts >= start + INTERVAL 1 DAY) THEN 'time' WHEN r.ts IS NOT NULL THEN 'take' END AS act FROM s LEFT JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1) WHERE act IS NOT NULL)
+SELECT user_id, made.first_event AS first_event, made.n_events AS n_events, made.total AS total, strftime(made.closed_at, '%Y-%m-%d %H:%M:%S') AS closed FROM s WHERE made IS NOT NULL""")
 def window_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda rows, _: {"user_id": rows[0]["user_id"], "first_event": rows[0]["event_id"], "n_events": len(rows)}
+    made = {"first_event": Aggregate("first", "event_id"), "n_events": Aggregate("count", "event_id"), "total": Aggregate("sum", "event_id")}
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return stateful.anchored_windows(events, ["user_id"], "ts", "event_id", "user_id long, first_event long, n_events long", make, 86400, 86400, messages=3)
+    out = stateful.windows(events, ["user_id"], "ts", "event_id", made, width_seconds=86400, step_seconds=43200, messages=4, step_messages=2)
+    return out.select("user_id", *made, F.date_format("closed_at", "yyyy-MM-dd HH:mm:ss").alias("closed"))
 
 
-# ---- joins
+@query("""WITH r AS (SELECT user_id, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+c AS (SELECT user_id, (i - 7) // 4 AS k, ts AS closed FROM r WHERE i >= 7 AND (i - 7) % 4 = 0),
+v AS (SELECT r.*, c.closed AS removed FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.k = r.i // 4)
+SELECT c.user_id, c.k AS "window", count(*) FILTER (i >= 4 * k) AS n_events, (list_extract(list_sort(list(least(greatest(floor(value / 10), 0), 19))), CAST(greatest(1, ceil(0.25 * count(*))) AS INT)) + 0.5) * 10 AS p25
+FROM c JOIN v ON v.user_id = c.user_id AND (i BETWEEN 4 * k AND 4 * k + 7 OR (i < 4 * k AND removed + INTERVAL 2 DAY > closed)) GROUP BY ALL""")
+def window_hist_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a step removed stays in the histogram for two more days."""
+    made = {"n_events": Aggregate("count", "value"), "p25": Aggregate("percentile_linear_histogram", "value", 25.0, 20, 0.0, 200.0, delay_seconds=2 * 86400)}
+    out = stateful.windows(table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts"), ["user_id"], "ts", "event_id", made, messages=8, step_messages=4)
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("closed_at")) - 1
+    return out.select("user_id", number.cast("long").alias("window"), "n_events", "p25")
 
 
-@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase')
-SELECT l.user_id, l.event_id AS left_id, r.event_id AS right_id FROM l JOIN r USING (user_id, k)""")
-def correlate_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With equality alone every branch is a queue, so that the k-th left row meets the k-th right one: no state machine is needed."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    side = lambda kind, name: table(spark, sf_dir, "events").filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.row_number().over(w).alias("k"))
-    return side("click", "left_id").join(side("purchase", "right_id"), ["user_id", "k"]).drop("k")
+# ---- joins
 
 
 def correlated(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
@@ -321,12 +334,49 @@ def correlated(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return stateful.correlate(side("click", "left_id"), side("purchase", "right_id"), ["user_id"], "ts", "event_id", "user_id long, left_id long, right_id long", make, timed_out=late, **how)
 
 
-@query()
+PAIRED = "left_id IS NOT NULL AND right_id IS NOT NULL"
+KTH = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase')
+SELECT l.user_id, l.event_id AS left_id, r.event_id AS right_id FROM l JOIN r USING (user_id, k)"""
+#: Clicks and purchases of each user, one after another.
+SIDES = """WITH RECURSIVE r AS (SELECT user_id, event_id AS id, ts, value, event_type = 'click' AS is_left, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'purchase')),"""
+
+
+@query(KTH)
+def correlate_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the machine that takes each arrival in turn."""
+    return correlated(spark, sf_dir, native=False).filter(PAIRED)
+
+
+@query(KTH)
+def correlate_earliest_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a predicate every branch is a queue: the k-th left row meets the k-th right one."""
+    return correlated(spark, sf_dir).filter(PAIRED)
+
+
+@query(f"""{SIDES} s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS waiting, FALSE AS lefts, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id FROM r
+UNION ALL SELECT r.user_id, r.n, CASE WHEN len(waiting) = 0 OR lefts = is_left THEN list_append(waiting, id) ELSE waiting[:-2] END, CASE WHEN len(waiting) = 0 THEN is_left ELSE lefts END,
+CASE WHEN len(waiting) > 0 AND lefts <> is_left THEN CASE WHEN is_left THEN id ELSE waiting[-1] END END, CASE WHEN len(waiting) > 0 AND lefts <> is_left THEN CASE WHEN is_left THEN waiting[-1] ELSE id END END
+FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1)
+SELECT user_id, left_id, right_id FROM s WHERE left_id IS NOT NULL""")
 def correlate_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlated(spark, sf_dir, match="latest").filter("left_id IS NOT NULL AND right_id IS NOT NULL")
+    return correlated(spark, sf_dir, match="latest").filter(PAIRED)
+
 
+ROW = "STRUCT(id BIGINT, ts TIMESTAMP, value DOUBLE)[]"
+OUT = "STRUCT(left_id BIGINT, right_id BIGINT)[]"
 
-@query()
+
+@query(f"""{SIDES} s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::{ROW} AS l, []::{ROW} AS g, []::{OUT} AS emitted FROM r
+UNION ALL SELECT user_id, n, CASE WHEN is_left THEN CASE WHEN hit > 0 THEN l ELSE list_append(l, own) END ELSE CASE WHEN hit > 0 THEN list_filter(l, lambda x: x.id <> l[hit].id) ELSE l END END,
+CASE WHEN is_left THEN CASE WHEN hit > 0 THEN list_filter(g, lambda x: x.id <> g[hit].id) ELSE g END ELSE CASE WHEN hit > 0 THEN g ELSE list_append(g, own) END END,
+list_concat(list_concat(list_transform(l0, lambda x: {{'left_id': x.id, 'right_id': NULL::BIGINT}}), list_transform(g0, lambda x: {{'left_id': NULL::BIGINT, 'right_id': x.id}})),
+CASE WHEN hit > 0 THEN [{{'left_id': CASE WHEN is_left THEN own.id ELSE l[hit].id END, 'right_id': CASE WHEN is_left THEN g[hit].id ELSE own.id END}}] ELSE []::{OUT} END)
+FROM (SELECT *, coalesce(CASE WHEN is_left THEN list_position(list_transform(g, lambda x: own.value <= x.value), TRUE) ELSE list_position(list_transform(l, lambda x: x.value <= own.value), TRUE) END, 0) AS hit
+FROM (SELECT r.user_id, r.n, is_left, {{'id': r.id, 'ts': r.ts::TIMESTAMP, 'value': r.value::DOUBLE}} AS own, list_filter(s.l, lambda x: x.ts + INTERVAL 1 DAY >= r.ts) AS l, list_filter(s.g, lambda x: x.ts + INTERVAL 1 DAY >= r.ts) AS g,
+list_filter(s.l, lambda x: x.ts + INTERVAL 1 DAY < r.ts) AS l0, list_filter(s.g, lambda x: x.ts + INTERVAL 1 DAY < r.ts) AS g0 FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))),
+last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1)
+SELECT user_id, e.left_id, e.right_id FROM (SELECT user_id, unnest(emitted) AS e FROM s)
+UNION ALL SELECT user_id, x.id, NULL FROM (SELECT user_id, unnest(l) AS x FROM last) UNION ALL SELECT user_id, NULL, x.id FROM (SELECT user_id, unnest(g) AS x FROM last)""")
 def correlate_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlated(spark, sf_dir, matches=lambda a, b: a["left_id_value"] <= b["right_id_value"], horizon_seconds=86400)
 
@@ -373,7 +423,7 @@ SELECT user_id, strftime(tick, '%Y-%m-%d') AS day, e.event_id FROM (SELECT user_
 def generator_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     day = lambda d: F.lit(d).cast("timestamp_ntz")
-    return nodes.ticks(state, ["user_id"], "ts", "1 DAY", day("2024-01-01"), day("2024-01-31")).select("user_id", F.date_format("tick", "yyyy-MM-dd").alias("day"), "event_id")
+    return nodes.ticks(state, ["user_id"], "ts", 86400, day("2024-01-01"), day("2024-01-31")).select("user_id", F.date_format("tick", "yyyy-MM-dd").alias("day"), "event_id")
 
 
 @query("""SELECT event_id, least(off, 3600000000 - off) <= 600000000 AS admitted FROM (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) % 3600000000 AS off FROM events)""")
@@ -417,13 +467,36 @@ def sensitive_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.subscribe(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), ["c_name"], F.col("c_acctbal") > 0).drop("c_acctbal")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.5)), 6) AS score FROM embeddings")
-def inferencer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def load() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        return lambda pdf: pd.DataFrame({"vec_id": pdf["vec_id"], "score": [float(sum(float(x) * 0.5 for x in v)) for v in pdf["embedding"]]})
+def message(*fields: tuple[int, int | bytes | str]) -> bytes:
+    """Fields of a Protobuf message: number and an integer, bytes, or text."""
+
+    def number(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
 
-    scored = stateful.infer(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), load, "vec_id long, score double")
-    return scored.select("vec_id", F.round("score", 6).alias("score"))
+    out = b""
+    for k, v in fields:
+        v = v.encode() if isinstance(v, str) else v
+        out += number(k << 3) + number(v) if isinstance(v, int) else number(k << 3 | 2) + number(len(v)) + v
+    return out
+
+
+def linear_model(weights: list[float]) -> bytes:
+    """An ONNX model of scores = rows · weights, in F64."""
+    kind = 11  # double
+    shape = lambda *dims: message((1, message((1, kind), (2, b"".join(message((1, message((2, d) if isinstance(d, str) else (1, d)))) for d in dims)))))
+    tensor = message((1, len(weights)), (1, 1), (2, kind), (8, "weights"), (9, struct.pack(f"<{len(weights)}d", *weights)))
+    node = message((1, "rows"), (1, "weights"), (2, "scores"), (4, "MatMul"))
+    graph = message((1, node), (2, "linear"), (5, tensor), (11, message((1, "rows"), (2, shape("n", len(weights))))), (12, message((1, "scores"), (2, shape("n", 1)))))
+    return message((1, 8), (7, graph), (8, message((1, ""), (2, 13))))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(len(embedding)), lambda i: embedding[i + 1]::DOUBLE * (i % 7 - 3))), 6) AS score FROM embeddings")
+def inferencer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear model run by onnxruntime over batches of rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    size = len(vectors.first().embedding)
+    scored = stateful.infer(vectors, linear_model([float(k % 7 - 3) for k in range(size)]), {"rows": ("embedding", "F64", ("BATCH", size))}, {"scores": "scores"}, "vec_id long, scores array<double>", keep=["vec_id"])
+    return scored.select("vec_id", F.round(F.get("scores", 0), 6).alias("score"))
 
 
 @query("SELECT event_id, user_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS running FROM events")
@@ -453,6 +526,103 @@ def branch_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.most_recent(state, "ts", "event_id", 20).select("user_id", "event_id")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events), p AS (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY n) AS before FROM e),
+d AS (SELECT p.n, count(DISTINCT e.user_id) AS others FROM p JOIN e ON e.n > p.before AND e.n < p.n GROUP BY p.n)
+SELECT event_id, user_id, CAST(sum(CASE WHEN before IS NULL OR coalesce(others, 0) >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY p.n) AS BIGINT) - 1 AS life FROM p LEFT JOIN d ON d.n = p.n""")
+def branch_lru_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user who isn't among the 40 seen last starts anew."""
+    return nodes.evictions(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id", 40).select("event_id", "user_id", "life")
+
+
+# ---- row errors, logic, lookups in assignments, further codecs
+
+
+@query("""SELECT event_id, (event_type = 'click' AND value > 50) AS both, (event_type = 'click' OR nullif(event_type, 'error') = 'view') AS either, NOT (nullif(event_type, 'error') = 'view') AS neither,
+(nullif(event_type, 'error') = 'view' AND value > 50) AS kleene FROM events""")
+def fn_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    m = of_table(events)
+    click, view, large = m["event_type"].eq(s("click")), call("nullif", m["event_type"], s("error")).eq(s("view")), m["value"] > lit(50.0)
+    return computed(events, "event_id", both=click & large, either=click | view, neither=~view, kleene=view & large)
+
+
+@query("""SELECT p_partkey, p_name AS trimmed, p_name || chr(9) || ' ' AS ltrimmed, '  ' || chr(160) || p_name AS rtrimmed FROM part""")
+def fn_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumns({"padded": F.concat(F.lit("  \u00a0"), "p_name", F.lit("\t ")), "left": F.concat(F.lit(" \n"), "p_name", F.lit("\t ")), "right": F.concat(F.lit("  \u00a0"), "p_name", F.lit("\u2003"))})
+    m = of_table(part)
+    return computed(part, "p_partkey", trimmed=call("trim", m["padded"]), ltrimmed=call("ltrim", m["left"]), rtrimmed=call("rtrim", m["right"]))
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, regexp_replace(l_extendedprice::VARCHAR, '\.0$', '') AS price, l_quantity::BIGINT::VARCHAR || '00000000000000000000' AS large, TRUE AS back, FALSE AS exponent FROM lineitem""")
+def fn_cast_float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    m = of_table(lines)
+    tiny = m["l_extendedprice"] * lit(1e-17)
+    text = cast(tiny, "STRING")
+    return computed(lines, "l_orderkey", "l_linenumber", price=cast(m["l_extendedprice"], "STRING"), large=cast(m["l_quantity"] * lit(1e20), "STRING"), back=cast(text, "F64").eq(tiny), exponent=call("contains", text, s("E")))
+
+
+@query("""SELECT event_id, 'ok' AS lane, contains(event_type, 'c') AS found, NULL AS error_code, NULL AS error_operation FROM events WHERE event_id % 5 <> 0
+UNION ALL SELECT event_id, 'error', NULL, 'invalid_argument', 'regexp_like' FROM events WHERE event_id % 5 = 0""")
+def regex_error_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for each row, some of them no patterns."""
+    events = table(spark, sf_dir, "events").withColumn("pattern", F.when(F.col("event_id") % 5 == 0, "c(").otherwise("[c]"))
+    route = Route(
+        schema(event_id="I64", lane="STRING", found="BOOL?", error_code="STRING?", error_operation="STRING?"),
+        inherit=("event_id",),
+        set=(("lane", lambda m: s("ok")), ("found", lambda m: call("regexp_like", m["event_type"], m["pattern"]))),
+        errors=(("event_id", lambda m: m["event_id"]), ("lane", lambda m: s("error")), ("found", lambda m: m["partial_found"]), ("error_code", lambda m: m["error_code"]), ("error_operation", lambda m: m["error_operation"])),
+    )
+    out = nodes.junction([(events, None)], {"out": route})["out"]
+    return out.rows.unionByName(out.errors)
+
+
+@query("""SELECT o_orderkey, upper(c_mktsegment) AS segment, coalesce(c_mktsegment, 'none') || ':' || o_orderstatus AS tag FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON o_custkey = c_custkey WHERE coalesce(c_mktsegment, 'none') <> 'BUILDING'""")
+def lookup_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash map read by the expressions of a route."""
+    customers = table(spark, sf_dir, "customer").filter("c_nationkey < 20").select("c_custkey", "c_mktsegment")
+    segment = lambda m: looked_up(customers, "c_custkey", m["o_custkey"], "c_mktsegment", "c_custkey")
+    route = Route(
+        schema(o_orderkey="I64", segment="STRING?", tag="STRING"),
+        inherit=("o_orderkey",),
+        set=(("segment", lambda m: call("upper", segment(m))), ("tag", lambda m: call("concat", call("coalesce", segment(m), s("none")), s(":"), m["o_orderstatus"]))),
+        where=lambda m: ~call("starts_with", m["tag"], s("BUILDING:")),
+    )
+    return nodes.junction([(table(spark, sf_dir, "orders"), None)], {"out": route})["out"].rows
+
+
+@query("""SELECT o_orderkey, o_orderstatus AS first_value, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus || ',' || o_orderkey ELSE o_orderstatus END AS all_values, NULL AS none FROM orders""")
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("second", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string")))
+    sent = connectors.write_header(connectors.write_header(orders, "status", "o_orderstatus"), "status", "second")
+    kept = sent.withColumn("headers", F.filter("headers", lambda h: h["value"].isNotNull()))
+    every = call("read_headers", s("status"))
+    return computed(kept, "o_orderkey", first_value=call("read_header", s("status")), all_values=Expr(F.array_join(every.value, ","), "STRING"), none=call("read_header", s("other")))
+
+
+@query("""SELECT event_id, event_id % 4 <> 0 AS good, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN event_type END AS kind FROM events""")
+def xml_codec_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown element, text for a number, and what isn't well formed go to errors."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    kind = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("<kind>"), "event_type", F.lit("</kind>")))
+    good = F.concat(F.lit("<row><user_id>"), F.col("user_id").cast("string"), F.lit("</user_id>"), kind, F.lit("</row>"))
+    bad = F.element_at(F.array(F.lit("<row><user_id>1</user_id><more>1</more></row>"), F.lit("<row><user_id>x1</user_id></row>"), F.lit("<row><user_id>1</row>")), (F.col("event_id") % 3 + 1).cast("int"))
+    raw = events.select("event_id", F.when(F.col("event_id") % 4 == 0, bad).otherwise(good).alias("raw"))
+    out = codecs.decode_xml(raw, "raw", schema(user_id="I64", kind="STRING?"))
+    failed = out.errors.select("event_id", F.lit(False).alias("good"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("kind"))
+    return out.rows.select("event_id", F.lit(True).alias("good"), "user_id", "kind").unionByName(failed)
+
+
+@query("""SELECT event_id, event_id AS one, user_id AS two FROM events WHERE event_id % 4 = 0""")
+def json_codec_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARRAY<I64,2>: other lengths, and elements of other types, are errors."""
+    made = lambda *parts: F.concat(F.lit('{"pair":['), *parts, F.lit("]}"))
+    a, b = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, made(a, F.lit(","), b)).when(k == 1, made(a, F.lit(","), b, F.lit(",1"))).when(k == 2, made(a, F.lit(',"'), b, F.lit('"'))).otherwise(made(a))
+    return codecs.decode_json(table(spark, sf_dir, "events").withColumn("raw", raw), "raw", schema(pair="ARRAY<I64,2>")).rows.select("event_id", F.get("pair", 0).alias("one"), F.get("pair", 1).alias("two"))
+
+
 @query("""SELECT o_orderkey AS "key", o_orderstatus || ':' || o_totalprice::VARCHAR IS NOT NULL AS there, CASE WHEN o_totalprice > 100000 THEN 'large' END AS size_class FROM orders""")
 def emitter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VALUES: an independent mapping of output columns."""

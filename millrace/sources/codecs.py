@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import types as T
-from millrace.functions.expr import within
-from millrace.functions.scalar import RFC3339
+from millrace.functions.expr import Expr, within
+from millrace.functions.scalar import RFC3339, cast
 from millrace.operators.route import Field, Routed, spark_schema
 
 
 def typed(value: Column, f: Field) -> Column:
-    """A variant as the field's type, or null if it is of another."""
+    """A variant as the field's type, or null if it is of another: lists hold elements of exactly their type, and arrays as many as they say."""
     kind = F.schema_of_variant(value)
     inner = T.element(f.type)
     if inner is not None:
-        return F.try_variant_get(value, "$", T.spark(f.type))
+        parts = F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+        made = F.transform(parts, lambda v: typed(v, Field(inner)))
+        exact = ~F.exists(made, lambda v: v.isNull())
+        size = T.length(f.type)
+        return F.when(exact if size is None else exact & (F.size(parts) == size), made)
     if f.type == "STRING":
         return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     if f.type == "BOOL":
@@ -40,7 +45,8 @@ def decode_json(df: DataFrame, payload: str, fields: Mapping[str, Field], strict
         good = good & (F.size(F.array_except("__keys", F.array(*[F.lit(n) for n in fields]))) == 0)
     values = {}
     for name, f in fields.items():
-        raw = F.try_variant_get("__doc", f"$.{name}", "variant")
+        quoted = f"'{name}'" if "'" not in name else f'"{name}"'
+        raw = F.try_variant_get("__doc", f"$[{quoted}]", "variant")
         missing = raw.isNull() | F.is_variant_null(raw)
         values[name] = F.when(~missing, typed(raw, f))
         good = good & (missing if f.optional else F.lit(False)) | good & values[name].isNotNull()
@@ -55,13 +61,26 @@ def encode_json(df: DataFrame, fields: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in fields]), {"ignoreNullFields": "true"})
 
 
-def decode_xml(df: DataFrame, payload: str, fields: Mapping[str, Field], row_tag: str = "row") -> Routed:
-    """XML elements with the fields as children."""
-    parsed = df.withColumn("__row", F.from_xml(payload, spark_schema(fields), {"rowTag": row_tag, "mode": "PERMISSIVE"}))
-    good = F.col("__row").isNotNull()
+def decode_xml(df: DataFrame, payload: str, fields: Mapping[str, Field], row_tag: str = "row", strict: bool = True) -> Routed:
+    """XML elements with the fields as children, whose texts must be of their types. What isn't well formed, lacks a required field, holds a
+    value of another type, or (strict) an element of another name, is in errors; loose decoding drops unknown elements."""
+    text = {n: Field(f"VEC<{'STRING'}>" if T.element(f.type) else "STRING") for n, f in fields.items()}
+    parsed = df.withColumn("__row", F.from_xml(payload, f"{spark_schema(text)}, `__bad` string", {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    good = F.col("__row").isNotNull() & F.col("__row.__bad").isNull() & F.col(payload).rlike(rf"(?s)^\s*(<\?.*?\?>\s*)?<{re.escape(row_tag)}[\s/>]")
+    if strict:
+        bare = F.regexp_replace(payload, r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->", "")
+        names = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"<([\p{L}_][^\s/>]*)"), F.lit(1)))
+        good = good & (F.size(F.array_except(names, F.array(*[F.lit(n) for n in [row_tag, *fields]]))) == 0)
+    values = {}
     for name, f in fields.items():
-        if not f.optional:
-            good = good & F.col(f"__row.{name}").isNotNull()
+        said, inner = F.col(f"__row.`{name}`"), T.element(f.type)
+        if inner is None:
+            values[name] = cast(Expr(said, "STRING"), f.type).value
+        else:
+            made = F.transform(said, lambda v, inner=inner: cast(Expr(v, "STRING"), inner).value)
+            exact = ~F.exists(made, lambda v: v.isNull())
+            values[name] = F.when(exact if T.length(f.type) is None else exact & (F.size(said) == T.length(f.type)), made)
+        good = good & (values[name].isNotNull() | (said.isNull() if f.optional else F.lit(False)))
     marked = parsed.withColumn("__good", F.coalesce(good, F.lit(False)))
     rest = [c for c in df.columns if c not in fields]
-    return Routed(marked.filter("__good").select(*rest, "__row.*"), marked.filter("NOT __good").select(*df.columns))
+    return Routed(marked.filter("__good").select(*rest, *[v.alias(n) for n, v in values.items()]), marked.filter("NOT __good").select(*df.columns))
