@@ -2,8 +2,9 @@
 
 Each order sorts a set's shingles by how frequent they are (a fixed-size sketch of counts over all documents) and then by a
 hash of its own. Two sets that are similar enough share a shingle among the first ones, the prefix, under every order.
-The first order's prefixes are the index; candidates from it must also share prefix shingles under the other orders
-before their sets are compared. A positional filter bounds the overlap that a shared shingle allows.
+The first order's prefixes are the index, with a positional filter that bounds the overlap that a shared shingle allows. Candidates
+from it must also share prefix shingles under every other order: only fingerprints of those prefixes are made and joined for
+that, and only of pairs that pass all orders the sets are fetched and compared.
 
 Equal sets form a class and are compared once. A list of classes that share a shingle isn't paired with itself at once:
 
@@ -15,7 +16,8 @@ Equal sets form a class and are compared once. A list of classes that share a sh
    in the index and the same bound allows it.
 
 So no link between different sets is lost, and large groups of near copies cost about as many comparisons as members.
-Shingles are 64-bit hashes, of which 48 bits are compared; classes are 64-bit hashes of their sets.
+Shingles are 64-bit hashes, of which 48 bits are compared. Classes are 64-bit hashes of their sets; where a further 64 bits show that sets of one hash
+differ, those name them instead. Lists of very frequent shingles (parameter hot) are counted and joined rather than run through a window.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of fewer words than a shingle are one
 shingle; rows that repeat a doc_id are documents of that id each; a null doc_id is never a component's id unless alone.
@@ -49,8 +51,10 @@ with np.errstate(over="ignore"):
     POWERS = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, U))
     PLACES = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, U))
 SKETCH, BLOCK = 1 << 20, 4096
-#: Bits of the map that tells which classes may have a partner; 8 MB at most reach the driver.
+#: Bits of each of the two maps that tell which documents, and which of their classes, are wanted; 8 MB of each at most reach the driver.
 MAP_BITS = 1 << 26
+#: Prefixes shorter than this have fingerprints of two bytes a shingle, others of four.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,9 +122,16 @@ def lists_of(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
-def class_of(found: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
-    return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
+def hashes_of(found: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set."""
+    raw = blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
+def class_of(found: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """A set's class: the first hash, or the second where different sets have the first."""
+    cls, second = hashes_of(found)
+    return second if cls in clashes else cls
 
 
 def prefix(found: np.ndarray, levels: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
@@ -134,23 +145,23 @@ def prefix(found: np.ndarray, levels: np.ndarray, order: int, num: int, den: int
 
 
 def scan(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, cls of all documents, and in rows with a block the counts of this task's shingles by their low bits."""
+    """doc_id, n, and both hashes of all documents, and in rows with a block the counts of this task's shingles by their low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cls", "block", "counts"]
+        names = ["doc_id", "n", "cls", "second", "block", "counts"]
         seen = np.zeros(SKETCH, np.uint32)
         for batch in parts_of(batches):
             found = shingles(batch.column(1), words)
-            sizes, classes = [len(f) for f in found], [class_of(f) for f in found]
+            sizes, hashes = [len(f) for f in found], [hashes_of(f) for f in found]
             np.add.at(seen, (np.concatenate(found) & U(SKETCH - 1)).astype(np.int64), 1)
             nothing = [pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*hashes, strict=True)), *nothing], names)
         for block in range(0, SKETCH // BLOCK, 64):
             counts = [seen[k * BLOCK : (k + 1) * BLOCK] for k in range(block, min(block + 64, SKETCH // BLOCK))]
             k = len(counts)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 3, pa.array(range(block, block + k), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(range(block, block + k), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, second long, block int, counts binary")
 
 
 def levels(sketches: DataFrame) -> np.ndarray:
@@ -171,27 +182,27 @@ def levels(sketches: DataFrame) -> np.ndarray:
     return out
 
 
-def classes(docs: DataFrame, columns: str, values, words: int) -> DataFrame:
-    """values(set, cls), a tuple or None, for the set of each text; within a task mostly once for each class."""
-    names = [c.split()[0] for c in columns.split(", ")]
+def indexed(docs: DataFrame, lvl, clashes: frozenset[int], words: int, num: int, den: int, hot_level: int) -> DataFrame:
+    """cls, n, the first order's prefix, and how many of its shingles are below hot_level (they come first); within a task mostly once for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in parts_of(batches):
             rows = []
             for s in shingles(batch.column(0), words):
-                if not len(s) or (cls := class_of(s)) in done:
+                if not len(s) or (cls := class_of(s, clashes)) in done:
                     continue
                 if len(done) > 200_000:
                     done.clear()
                 done.add(cls)
-                if (row := values(s, cls)) is not None:
-                    rows.append((cls, len(s), *row))
+                head = prefix(s, lvl.value, 0, num, den)
+                cool = int(np.count_nonzero(lvl.value[(head & U(SKETCH - 1)).astype(np.int64)] < hot_level))
+                rows.append((cls, len(s), head, cool))
             if rows:
-                cols = [lists_of(c) if isinstance(c[0], np.ndarray) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                cls, n, heads, cool = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), lists_of(list(heads)), pa.array(cool, pa.int32())], ["cls", "n", "tokens", "cool"])
 
-    return docs.select("text").mapInArrow(run, columns)
+    return docs.select("text").mapInArrow(run, "cls long, n long, tokens array<long>, cool int")
 
 
 def similar(inter: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -212,42 +223,49 @@ def tokens_of(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view(">u8").astype(U)
 
 
-def prefix_bits(found: np.ndarray, heads: list[np.ndarray]) -> bytes:
-    """For each further order, a bit for each shingle that is in its prefix."""
-    return b"".join(np.packbits(np.isin(found, h, assume_unique=True)).tobytes() for h in heads)
+def fingerprints(heads: list[np.ndarray]) -> bytes:
+    """The prefixes of the further orders, all of one length, as 16-bit parts of their shingles if that is short, else 32-bit ones."""
+    kind = np.dtype("<u2") if len(heads[0]) < SHORT else np.dtype("<u4")
+    return bytes([kind.itemsize]) + b"".join((h >> U(16)).astype(kind).tobytes() for h in heads)
+
+
+def prefixes_meet(a: bytes, b: bytes, filters: int) -> bool:
+    """Whether two sets may share a prefix shingle under every further order."""
+    x, y = (np.frombuffer(raw, np.dtype(f"<u{raw[0]}"), offset=1).reshape(filters, -1) for raw in (a, b))
+    if x.dtype != y.dtype:
+        x, y = x.astype(np.uint16), y.astype(np.uint16)
+    return all(len(np.intersect1d(x[k], y[k])) for k in range(filters))
 
 
-def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, filters: int, always: str | None = None) -> DataFrame:
-    """The pairs (a, b and more columns) that share a prefix shingle under each further order, with na, nb and the overlap inter. Where the
-    column always is true the filters are skipped: the distance is needed, similar or not."""
+def passing(pairs: DataFrame, heads: DataFrame, filters: int) -> DataFrame:
+    """The pairs (a, b and more columns) that share a prefix shingle under each further order, told by fingerprints alone."""
     names = pairs.columns
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("bits").alias(f"m{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "na", "nb", "ta", "tb", "ma", "mb")
+    side = lambda x: heads.groupBy("cls").agg(F.first("heads").alias(f"h{x}")).withColumnRenamed("cls", x)
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "ha", "hb")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, ta, tb, ma, mb = (batch.column(len(names) + k).to_pylist() for k in range(6))
-            whole = batch.column(names.index(always)).to_pylist() if always else [False] * batch.num_rows
-            keep, inter = [], []
-            for k in range(batch.num_rows):
-                x, y = tokens_of(ta[k]), tokens_of(tb[k])
-                common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                if whole[k] or all(prefixes_meet(ma[k], mb[k], len(x), len(y), i, j, order, filters) for order in range(filters)):
-                    keep.append(k)
-                    inter.append(len(common))
+            ha, hb = (batch.column(len(names) + k).to_pylist() for k in range(2))
+            keep = [k for k in range(batch.num_rows) if prefixes_meet(ha[k], hb[k], filters)]
             if keep:
-                kept = batch.select(range(len(names) + 2)).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(inter, pa.int64())], [*names, "na", "nb", "inter"])
+                yield batch.select(range(len(names))).take(pa.array(keep))
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in pairs.dtypes))
 
-    kinds = dict(pairs.dtypes)
-    return rows.mapInArrow(count, ", ".join([*(f"{c} {kinds[c]}" for c in names), "na long, nb long, inter long"]))
 
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b and more columns) with na, nb and the overlap inter of their sets."""
+    names = pairs.columns
+    side = lambda x: sets.groupBy("cls").agg(F.first("n").alias(f"n{x}"), F.first("tokens").alias(f"t{x}")).withColumnRenamed("cls", x)
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "na", "nb", "ta", "tb")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ta, tb = (batch.column(len(names) + k).to_pylist() for k in (2, 3))
+            inter = [len(np.intersect1d(tokens_of(x), tokens_of(y), assume_unique=True)) for x, y in zip(ta, tb, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 2], pa.array(inter, pa.int64())], [*names, "na", "nb", "inter"])
 
-def prefixes_meet(a: bytes, b: bytes, n: int, m: int, i: np.ndarray, j: np.ndarray, order: int, filters: int) -> bool:
-    """Whether two sets share a shingle of both their prefixes under an order; i and j are the common shingles' places."""
-    x = np.frombuffer(a, np.uint8)[order * len(a) // filters : (order + 1) * len(a) // filters]
-    y = np.frombuffer(b, np.uint8)[order * len(b) // filters : (order + 1) * len(b) // filters]
-    return bool((np.unpackbits(x, count=n)[i] & np.unpackbits(y, count=m)[j]).any())
+    return rows.mapInArrow(count, ", ".join([*(f"{c} {k}" for c, k in pairs.dtypes), "na long, nb long, inter long"]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,50 +291,91 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, owners: DataFrame, lvl, words: int, num: int, den: int, orders: int) -> DataFrame:
-    """The sets of the wanted classes (cls, n, tokens, bits), made anew from the text of one document of each: its owner. A bit map of
-    fixed size passes over nearly all other documents."""
-    key = (F.pmod("cls", F.lit(MAP_BITS)) + F.pmod(F.coalesce("owner", F.lit(-1)), F.lit(MAP_BITS))) % MAP_BITS + 1  # Spark's bitmaps begin at 1
-    held = wanted.join(owners, "cls").select(key.alias("key"))
-    cells = held.groupBy(F.bitmap_bucket_number("key").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits")).collect()
-    columns = "cls long, n long, tokens binary, bits binary"
+def fetched(docs: DataFrame, wanted: DataFrame, owners: DataFrame, make, name: str, clashes: frozenset[int], words: int) -> DataFrame:
+    """cls, n and make(set), a binary column of that name, of the wanted classes, made anew from the text of one document of each: its owner. A bit map
+    of owners passes over nearly all other texts before they are read, one of owners and classes over other classes of the same id. A class that
+    several tasks meet (rows repeat an id) has a row from each."""
+    owner = F.pmod(F.coalesce("owner", F.lit(-1)), F.lit(MAP_BITS))
+    keys = {0: owner, 1: (F.pmod("cls", F.lit(MAP_BITS)) + owner) % MAP_BITS}
+    held = wanted.join(owners, "cls").select(F.explode(F.array(*[F.struct(F.lit(k).alias("map"), (v + 1).alias("key")) for k, v in keys.items()])).alias("x")).select("x.*")  # Spark's bitmaps begin at 1
+    cells = held.groupBy("map", F.bitmap_bucket_number("key").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits")).collect()
+    columns = f"cls long, n long, {name} binary"
     if not cells:
         return docs.sparkSession.createDataFrame([], columns)
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    bits = np.zeros((2, MAP_BITS // 8), np.uint8)
     for row in cells:
-        bits[(row.cell - 1) * 4096 : row.cell * 4096] = np.frombuffer(row.bits, np.uint8)
+        bits[row.map, (row.cell - 1) * 4096 : row.cell * 4096] = np.frombuffer(row.bits, np.uint8)
     shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def there(k: int, at: int) -> bool:
+        return bool(shared_bits.value[k, at >> 3] >> (at & 7) & 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts_of(batches):
-            rows = []
-            for owner, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), words), strict=True):
-                cls = class_of(s)
-                at = (cls % MAP_BITS + (-1 if owner is None else owner) % MAP_BITS) % MAP_BITS
-                if len(s) and shared_bits.value[at >> 3] >> (at & 7) & 1:
-                    rows.append((cls, len(s), packed_tokens(s), prefix_bits(s, [prefix(s, lvl.value, k, num, den) for k in range(1, orders)])))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["cls", "n", "tokens", "bits"])
+        done: set[int] = set()
+        for batch in batches:
+            ids = [(-1 if i is None else i) % MAP_BITS for i in batch.column(0).to_pylist()]
+            some = [k for k, i in enumerate(ids) if there(0, i)]
+            if not some:
+                continue
+            for part in parts_of(iter([batch.select([1]).append_column("at", pa.array(ids)).take(pa.array(some))])):
+                rows = []
+                for i, s in zip(part.column(1).to_pylist(), shingles(part.column(0), words), strict=True):
+                    if len(s) and (cls := class_of(s, clashes)) not in done and there(1, (cls % MAP_BITS + i) % MAP_BITS):
+                        if len(done) > 200_000:
+                            done.clear()
+                        done.add(cls)
+                        rows.append((cls, len(s), make(s)))
+                if rows:
+                    cls, n, made = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(made, pa.binary())], ["cls", "n", name])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, columns)
 
 
-def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, words: int, num: int, den: int, orders: int) -> DataFrame:
-    """Links (a, b) between classes; classes connected by all similar pairs are connected by these."""
-    shared_levels = docs.sparkSession.sparkContext.broadcast(lvl)  # SKETCH bytes
-    index = classes(docs, "cls long, n long, tokens array<long>", lambda s, _: (prefix(s, shared_levels.value, 0, num, den),), words)
-    # rest: the shingles from this one on, which bounds the overlap if it is the first common one; packed with the size to move less
-    postings = index.select("cls", "n", F.posexplode("tokens").alias("pos", "tok")).select("tok", "cls", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("at"))
+def shared_lists(index: DataFrame, any_hot: bool) -> DataFrame:
+    """tok, cls, n, rest and size: the index's lists of at least two classes. rest counts the shingles from this one on, which bounds the overlap if it is the first common one."""
+    postings = index.select("cls", "n", "cool", F.posexplode("tokens").alias("pos", "tok"))
+    at = (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("at")  # packed with the size to move less
     w = Window.partitionBy("tok")
-    shared = postings.select("*", F.min("cls").over(w).alias("one"), F.max("cls").over(w).alias("last")).filter("one <> last")
-    shared = shared.dropDuplicates(["tok", "cls"]).withColumn("size", F.count(F.lit(1)).over(w))  # copies in several tasks count once; the rows stay where they are
+    cool = (postings.filter("pos < cool") if any_hot else postings).select("tok", "cls", at)
+    found = cool.select("*", F.min("cls").over(w).alias("one"), F.max("cls").over(w).alias("last")).filter("one <> last")
+    found = found.dropDuplicates(["tok", "cls"]).withColumn("size", F.count(F.lit(1)).over(w)).drop("one", "last")  # copies in several tasks count once; the rows stay where they are
+    if any_hot:
+        hot = postings.filter("pos >= cool").select("tok", "cls", at).dropDuplicates(["tok", "cls"])
+        sizes = hot.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        found = found.unionByName(hot.join(sizes, "tok"))
     size, rest = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int")
-    shared = stored(shared.select("tok", "cls", size.alias("n"), rest.alias("rest"), "size"), "shared")
-    # the more of its prefix a class shares, and with the more others, the more central it is among near copies: it makes the better hub
-    central = shared.groupBy("cls").agg((F.sum("size") / (F.first("n") + 1)).alias("weight"))
-    hub = F.max(F.struct("weight", "cls", "n", "rest")).over(w).alias("hub")
-    lists = stored(shared.join(stored(central, "central"), "cls").select("tok", "cls", "n", "rest", hub), "lists")
+    return stored(found.select("tok", "cls", size.alias("n"), rest.alias("rest"), "size"), "shared")
+
+
+def with_hubs(shared: DataFrame, hot: int) -> DataFrame:
+    """The lists with the hub of each: the more of its prefix a class shares, and with the more others, the more central it is among near copies."""
+    central = stored(shared.groupBy("cls").agg((F.sum("size") / (F.first("n") + 1)).alias("weight")), "central")
+    rows, best = shared.join(central, "cls"), F.max(F.struct("weight", "cls", "n", "rest"))
+    columns = ["tok", "cls", "n", "rest", "hub"]
+    out = rows.filter(F.col("size") < hot).withColumn("hub", best.over(Window.partitionBy("tok"))).select(columns)
+    if not shared.filter(F.col("size") >= hot).isEmpty():
+        large = rows.filter(F.col("size") >= hot)
+        out = out.unionByName(large.join(large.groupBy("tok").agg(best.alias("hub")), "tok").select(columns))
+    return stored(out, "lists")
+
+
+def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, clashes: frozenset[int], words: int, num: int, den: int, orders: int, hot: int) -> DataFrame:
+    """Links (a, b) between classes; classes connected by all similar pairs are connected by these."""
+    shared_levels = docs.sparkSession.sparkContext.broadcast(lvl)  # SKETCH bytes
+    # a bucket of the sketch counts all its shingles, so that one is hot only if it stands out among the buckets, too
+    hot_level = int(np.ceil(4 * np.log2(1.0 + max(hot, 8 * float(np.exp2(lvl / 4.0).mean())))))
+    any_hot = bool((lvl >= hot_level).any())
+    index = indexed(docs, shared_levels, clashes, words, num, den, hot_level)
+    lists = with_hubs(shared_lists(stored(index, "index") if any_hot else index, any_hot), hot)
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        return fetched(docs, ends_of(pairs), owners, packed_tokens, "tokens", clashes, words)
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the other orders."""
+        make = lambda s: fingerprints([prefix(s, shared_levels.value, k, num, den) for k in range(1, orders)])
+        return stored(passing(pairs, fetched(docs, ends_of(pairs), owners, make, "heads", clashes, words), orders - 1), "passing") if orders > 1 else pairs
 
     def may(n: str, m: str, r: str, s: str) -> Column:
         """Whether places and sizes allow an overlap of num/(num + den) of both sizes together."""
@@ -324,8 +383,8 @@ def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, words: int, num:
 
     # 1. stars
     stars = stored(lists.filter((F.col("cls") != F.col("hub.cls")) & may("n", "hub.n", "rest", "hub.rest")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    get = lambda pairs: fetched(docs, ends_of(pairs), owners, shared_levels, words, num, den, orders)
-    done = stored(compared(stars, get(stars), num, den, orders - 1), "compared")
+    stars = filtered(stars)
+    done = stored(compared(stars, sets(stars)), "compared")
     linked = done.filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den))
     distance = 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     roots = linked.select(F.col("a")).distinct().join(linked.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
@@ -335,7 +394,7 @@ def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, words: int, num:
     # 2. pairs of stars
     placed = stored(lists.join(member, "cls", "left").select("tok", "cls", "n", "rest", F.coalesce("star", "cls").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r")), "placed")
     of = placed.groupBy("tok", "star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    of = stored(of.select("*", F.min("star").over(w).alias("one"), F.max("star").over(w).alias("last")).filter("one <> last").drop("one", "last"), "star-lists")
+    of = stored(of.select("*", F.min("star").over(Window.partitionBy("tok")).alias("one"), F.max("star").over(Window.partitionBy("tok")).alias("last")).filter("one <> last").drop("one", "last"), "star-lists")
     x, y = (of.select("tok", *[F.col(c).alias(c + k) for c in ("star", "lo", "hi", "rest")]) for k in "ab")
     near = (F.least("resta", "restb") * (num + den) >= num * (F.col("loa") + F.col("lob"))) & (den * F.col("hib") >= num * F.col("loa")) & (den * F.col("hia") >= num * F.col("lob"))
     radius = member.groupBy("star").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("k"))
@@ -344,7 +403,9 @@ def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, words: int, num:
         pairs = pairs.join(radius.select(F.col("star").alias(k), F.col("r").alias(f"r{k}"), F.col("k").alias(f"k{k}")), k, "left")
     pairs = pairs.fillna(0.0, ["ra", "rb"]).fillna(0, ["ka", "kb"]).withColumn("grown", F.col("ra") + F.col("rb") > 0)
     pairs = stored(pairs, "star-pairs")
-    hubs = stored(compared(pairs, get(pairs), num, den, orders - 1, always="grown"), "star-compared").withColumn("d", distance)
+    # between hubs with members the distance is needed, similar or not
+    pairs = stored(pairs.filter("grown").unionByName(filtered(pairs.filter("NOT grown"))), "star-candidates")
+    hubs = stored(compared(pairs, sets(pairs)), "star-compared").withColumn("d", distance)
     linked_hubs = hubs.filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
     found = linked.select("a", "b").union(linked_hubs)
 
@@ -366,19 +427,28 @@ def links(docs: DataFrame, owners: DataFrame, lvl: np.ndarray, words: int, num:
     inner = stored(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "inner-pairs")
     if inner.isEmpty():
         return found
-    last = compared(inner, get(inner), num, den, orders - 1).filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den))
+    inner = filtered(inner)
+    last = compared(inner, sets(inner)).filter(similar(F.col("inter"), F.col("na"), F.col("nb"), num, den))
     return found.union(stored(last.select("a", "b"), "inner"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, orders: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (columns doc_id and text)."""
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, orders: int = 3, hot: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (columns doc_id and text). orders is the number of token orders, hot the rows of a list from which on it is counted and joined."""
     scanned = stored(scan(docs, words), "scan")
-    members = scanned.filter("block IS NULL").select("doc_id", "n", "cls")
+    members = scanned.filter("block IS NULL").select("doc_id", "n", "cls", "second")
     lvl = levels(scanned.filter("block IS NOT NULL").select("block", "counts"))
-    owners = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("owner"))
-    label = components(links(docs, owners, lvl, words, num, den, orders))
-    first = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
-    named = first.join(label, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls")).drop("v")
+
+    def by_class(rows: DataFrame) -> DataFrame:
+        some = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("size"), F.min("second").alias("low"), F.max("second").alias("high"))
+        return stored(some, "owners")
+
+    owners = by_class(members)
+    clashes = frozenset(r.cls for r in owners.filter("low <> high").select("cls").collect())  # among 10^10 sets about three are to be expected
+    if clashes:
+        members = members.withColumn("cls", F.when(F.col("cls").isin(list(clashes)), F.col("second")).otherwise(F.col("cls")))
+        owners = by_class(members)
+    label = components(links(docs, owners.select("cls", "owner"), lvl, clashes, words, num, den, orders, hot))
+    named = owners.select("cls", F.col("owner").alias("first"), "size").join(label, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls")).drop("v")
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("size").alias("size"))
     of = stored(named.drop("size").join(stored(smallest.filter("size > 1").drop("size"), "smallest"), "label").select("cls", "component_id"), "component-of")
     return members.withColumn("key", F.when(F.col("n") > 0, F.col("cls"))).join(of.withColumnRenamed("cls", "key"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

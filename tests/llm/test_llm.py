@@ -109,6 +109,55 @@ def test_ngramjoin_loses_no_link(spark, seed):
     assert by_text(map(tuple, got.collect())) == by_text(components(rows))
 
 
+def test_ngramjoin_of_hot_lists(spark):
+    """Counted and joined lists lose nothing either."""
+    rows = chains(3)
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot=3)
+    assert by_text(map(tuple, got.collect())) == by_text(components(rows))
+
+
+def test_ngramjoin_with_clashing_classes(spark, monkeypatch):
+    """Hashes of few bits: different sets of one class are still told apart."""
+    real = ngramjoin.hashes_of
+    few = lambda s: (real(s)[0] & 15, real(s)[1])
+    monkeypatch.setattr(ngramjoin, "hashes_of", few)
+    monkeypatch.setattr(ngramjoin, "class_of", lambda s, clashes=frozenset(): few(s)[few(s)[0] in clashes])
+    rows = chains(4)
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert by_text(map(tuple, got.collect())) == by_text(components(rows))
+
+
+def test_ngramjoin_compares_repeated_rows_once(spark, monkeypatch):
+    """Two near texts, each 2,000 times under one id or none: one pair is compared."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"])]
+    rows = [(i, t) for t, i in zip(texts, (1, 2), strict=True) for _ in range(2000)] + [(None, t) for t in texts for _ in range(500)]
+    seen, real = [], ngramjoin.compared
+    monkeypatch.setattr(ngramjoin, "compared", lambda pairs, sets: seen.append(real(pairs, sets)) or seen[-1])
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 56, 1), (2, 56, 1), (None, 56, 1)} and got.count() == 5000
+    assert sum(df.count() for df in seen) == 1
+
+
+def test_other_orders_cut_pairs_before_sets_are_fetched(spark, monkeypatch):
+    """Every similar pair passes; of the others some don't reach the comparison."""
+    kept, real = [], ngramjoin.passing
+    monkeypatch.setattr(ngramjoin, "passing", lambda pairs, heads, filters: kept.append((pairs.count(), real(pairs, heads, filters).count())) or real(pairs, heads, filters))
+    random = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, " ".join(f"w{x}" for x in random.choice(60, 20, replace=False))) for k in range(300)], "doc_id long, text string")
+    got = by_text(map(tuple, ngramjoin.near_duplicates(df, words=1).collect()))
+    assert sum(a for a, _ in kept) > sum(b for _, b in kept)
+    assert got == by_text(map(tuple, ngramjoin.near_duplicates(df, words=1, orders=1).collect()))
+
+
+def test_fingerprints_of_different_width_meet():
+    random = np.random.default_rng(1)
+    for n, m in ((10, 10), (50, 70), (100, 63), (64, 64)):
+        x, y = (np.sort(random.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        assert ngramjoin.prefixes_meet(ngramjoin.fingerprints([x, x]), ngramjoin.fingerprints([np.append(y[:-1], x[3]), np.append(x[4], y[:-1])]), 2)
+    assert not ngramjoin.prefixes_meet(ngramjoin.fingerprints([x, x]), ngramjoin.fingerprints([x, y]), 2)
+
+
 def test_ngramjoin_edges(spark, odd, none):
     got = by_text(rows_of(ngramjoin.near_duplicates(odd), "doc_id", "n_shingles", "component_id"))
     assert got == by_text([(i, n, c if n else i) for i, n, c in components(rows_of(odd, "doc_id", "text"))])
