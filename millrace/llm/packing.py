@@ -101,34 +101,36 @@ class SumOfSquares:
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.counts = np.zeros(capacity + 1, np.int64)
+        # what a level adds to the sum of squares as the one that a window leaves (never one without windows, but for the empty one) and as the one that it comes to
+        self.left, self.met = np.full(capacity + 1, 1 << 40), np.zeros(capacity + 1, np.int64)
+        self.left[0] = self.met[capacity] = -1
         self.open: list[list[list]] = [[] for _ in range(capacity + 1)]
 
     def level(self, size: int) -> int:
         """The level whose use makes the sum of squared counts smallest; ties go to the fullest."""
         top = self.capacity - size
-        counts = self.counts
-        # moving a window from h to h + size changes the sum by 2 (N[h + size] - N[h]) + 2; new and full windows don't count, N is 0 there
-        change = 2 * (counts[size : self.capacity + 1] - counts[: top + 1])
-        change[0] -= 1
-        change[top] -= 1
-        usable = counts[: top + 1] > 0
-        usable[0] = True
-        change = np.where(usable, change, np.iinfo(np.int64).max)
-        return top - int(np.argmin(change[::-1]))
+        # moving a window from h to h + size changes the sum by 2 (N[h + size] - N[h]) + 2, one less each if h is empty or h + size full
+        change = self.met[size:] + self.left[: top + 1]
+        return top - int(change[::-1].argmin())
+
+    def count(self, level: int, more: int) -> None:
+        self.counts[level] += more
+        n = int(self.counts[level])
+        self.met[level], self.left[level] = 2 * n, -2 * n if n else 1 << 40
 
     def place(self, piece: tuple, size: int) -> list | None:
         """Put a piece in; a window that it fills is returned and forgotten."""
         h = self.level(size)
         if h:
             window = self.open[h].pop()
-            self.counts[h] -= 1
+            self.count(h, -1)
         else:
             window = []
         window.append(piece)
         if h + size == self.capacity:
             return window
         self.open[h + size].append(window)
-        self.counts[h + size] += 1
+        self.count(h + size, 1)
         return None
 
     def rest(self) -> list[list]:
