@@ -389,7 +389,7 @@ def test_ann_recall(spark):
     x = np.array(x, np.float32).astype(float)
     want = brute_neighbours(np.arange(9000), x)
     got = defaultdict(list)
-    for r in ann.search(df, share=0.06, least_window=500).orderBy("query_id", "rank").collect():
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
     assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
@@ -412,7 +412,7 @@ def test_ann_ties_prefer_small_ids(spark):
     rows = [(k, (base * (1 + k * 7 % 200)).tolist()) for k in range(200)]
     rows += [(1000 + k, random.normal(size=21).tolist()) for k in range(800)]
     got = defaultdict(list)
-    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=0.06, least_window=20, block=64).orderBy("query_id", "rank").collect():
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=20, curves=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert (got[0], got[50], got[150]) == ([1, 2, 3, 4, 5], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4])
     one = np.eye(21)
