@@ -1,9 +1,9 @@
 """Surrogates for personal data and secrets: keyed, of the same type and format, distinct where the originals are, and the same wherever one recurs.
 
-Found are e-mail addresses, IP addresses, card numbers, phone numbers, social security numbers, IBANs, MAC addresses,
+Found are e-mail addresses, IP addresses of both kinds, card numbers (whose check digit is right), phone numbers, social security numbers, IBANs, MAC addresses,
 secrets (access keys, tokens and passwords of four characters or more after their names, hexadecimal strings of 32 or
 more, both of any length) and persons after a title. A surrogate follows from a key and the entity by a keyed hash: punctuation and lengths stay, digits become digits and
-letters letters of the same case; card numbers keep whether their check digit is right, persons keep gender and script.
+letters letters of the same case and script; check digits of card numbers and IBANs stay right, persons keep gender and script (Latin, Greek, Cyrillic).
 
 Mentions of one entity agree, each in its own format: what counts of an e-mail address is its lower-case form, of numbers,
 IBANs and MAC addresses their digits and letters. Of persons every given name and surname is an entity, in any case; all
@@ -14,6 +14,9 @@ Distinctness is checked over the whole table in Spark: where two entities got on
 an original, all but the first derive another, round by round, until none is left. Only texts that a cheap pattern
 suspects are shuffled; equal texts are treated once.
 
+The key is a secret of the user's: a parameter, or Spark's setting spark.millrace.pii.key. Without either a session draws one at random and keeps it
+in that setting, so that its surrogates agree with each other but not with those of other sessions.
+
 Null text stays null and empty text empty; texts without entities pass unchanged; repeated rows all appear; other
 columns, of whatever names, pass through.
 """
@@ -21,11 +24,14 @@ columns, of whatever names, pass through.
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Callable
+from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_rows, stored, texts
@@ -37,6 +43,8 @@ TITLES = {
     ("n", "latin"): ("Dr.", "Dr", "Doctor", "Prof.", "Prof", "Professor"),
     ("f", "cyrillic"): ("г-жа", "госпожа", "Госпожа"),
     ("m", "cyrillic"): ("г-н", "господин", "Господин"),
+    ("f", "greek"): ("κα", "κυρία", "Κυρία"),
+    ("m", "greek"): ("κ.", "κος", "κύριος", "Κύριος"),
 }
 #: Given names by gender and script.
 GIVEN = {
@@ -44,16 +52,21 @@ GIVEN = {
     ("m", "latin"): ("Adam", "Bruno", "Daniel", "Erik", "Felix", "Hugo", "Ivan", "Jakob", "Leon", "Martin", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Юрий"),
+    ("f", "greek"): ("Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία", "Κατερίνα"),
+    ("m", "greek"): ("Γιώργος", "Γιάννης", "Νίκος", "Πέτρος", "Σπύρος", "Ανδρέας"),
 }
-GIVEN["n", "latin"] = GIVEN["f", "latin"] + GIVEN["m", "latin"]
+SCRIPTS = ("latin", "cyrillic", "greek")
+GIVEN |= {("n", script): GIVEN["f", script] + GIVEN["m", script] for script in SCRIPTS}
 WHO = {t: who for who, ts in TITLES.items() for t in ts}
 #: Syllables of surnames by script, and their ends by gender and script.
-SYLLABLES = {"latin": ("ba", "der", "fen", "gor", "hal", "kin", "lo", "mar", "nel", "or", "pat", "ro", "san", "tel", "vin", "wes"), "cyrillic": ("ба", "вор", "гал", "дер", "кар", "лом", "мар", "нов", "пет", "рос", "сам", "тол")}
-ENDS = {("n", "latin"): ("son", "man", "ley", "berg"), ("f", "cyrillic"): ("ова", "ина"), ("m", "cyrillic"): ("ов", "ин")}
+SYLLABLES = {"latin": ("ba", "der", "fen", "gor", "hal", "kin", "lo", "mar", "nel", "or", "pat", "ro", "san", "tel", "vin", "wes"), "cyrillic": ("ба", "вор", "гал", "дер", "кар", "лом", "мар", "нов", "пет", "рос", "сам", "тол"), "greek": ("βα", "γε", "δη", "καρ", "λα", "μαν", "νικ", "πα", "ρου", "σαρ", "τσι", "χρι")}
+ENDS = {("n", "latin"): ("son", "man", "ley", "berg"), ("f", "cyrillic"): ("ова", "ина"), ("m", "cyrillic"): ("ов", "ин"), ("n", "cyrillic"): ("енко", "ко"), ("f", "greek"): ("ίδου", "άκη"), ("m", "greek"): ("ίδης", "άκης"), ("n", "greek"): ("έα", "ου")}
 
 BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
-CYRILLIC = r"[А-ЯЁ][а-яё-]+"
+#: Capital letters by script.
+CAPITALS = {script: "".join(c for c in map(chr, ranges) if c.isupper()) for script, ranges in {"latin": range(0x41, 0x250), "greek": range(0x370, 0x400), "cyrillic": range(0x400, 0x530)}.items()}
+CAPITAL = "".join(CAPITALS.values())
+NAME = rf"[{CAPITAL}][\w'’-]+"
 
 
 def titled(script: str, name: str) -> str:
@@ -73,17 +86,18 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|\.\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w|\.\d)",
-    "person": f"{titled('latin', NAME)}|{titled('cyrillic', CYRILLIC)}",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f])(?:[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)",
+    "person": "|".join(titled(script, NAME) for script in SCRIPTS),
 }
 #: What follows the name of a secret; only the last group is the secret.
 NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)(?:[_-]?(?:key|id))?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{4,})")
 #: Words that may be a name without a title, and what ends a name within a word.
-WORD, ENDING = re.compile(r"(?<![\w'’-])[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"), re.compile(r"(?:['’]s?|-)+(?= |$)")
+WORD, ENDING = re.compile(rf"(?<![\w'’-])[{CAPITAL}][\w'’-]+"), re.compile(r"(?:['’]s?|-)+(?= |$)")
 #: Country codes of phone numbers.
 COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Every text with an entity holds one of these characters or strings.
-MARKS, STRINGS = "[0-9@=:]", ("Mr", "Ms", "Miss", "Frau", "Mme", "Madame", "Señor", "Sra.", "Sr.", "Herr", "Monsieur", "Dr.", "Dr ", "Doctor", "Prof", "г-", "осп", "AKIA", "ASIA", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+MARKS, STRINGS = "[0-9@=:]", ("Mr", "Ms", "Miss", "Frau", "Mme", "Madame", "Señor", "Sra.", "Sr.", "Herr", "Monsieur", "Dr.", "Dr ", "Doctor", "Prof", "г-", "осп", "κ. ", "κος ", "ύριος ", "κα ", "υρία ", "AKIA", "ASIA", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def suspicious(text: Column) -> Column:
@@ -97,7 +111,7 @@ def suspicious(text: Column) -> Column:
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order and apart from each other."""
     found = [(m.start(1), m.end(1), "secret") for m in NAMED.finditer(text)] if "=" in text or ":" in text else []
-    found += [(m.start(), m.start() + len(bare(m[0])) if m.lastgroup == "person" else m.end(), m.lastgroup) for m in ANY.finditer(text)]
+    found += [(m.start(), m.start() + len(bare(m[0])) if m.lastgroup == "person" else m.end(), m.lastgroup) for m in ANY.finditer(text) if right(m.lastgroup, m[0])]
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in found:
@@ -108,6 +122,22 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return with_untitled(text, out) if any(kind == "person" for _, _, kind in out) else out
 
 
+def right(kind: str, value: str) -> bool:
+    """Whether a match is what its pattern is for: a number with a card's check digit, a well-formed address."""
+    if kind == "card":
+        return luhn("".join(c for c in value if c.isdecimal())) % 10 == 0
+    if kind == "ipv6":
+        try:
+            return IPv6Address(value).packed.count(0) < 15 and any(map(str.isdigit, value))
+        except ValueError:
+            return False
+    return True
+
+
+def script_of(name: str) -> str:
+    return next((s for s in SCRIPTS if name[0].upper() in CAPITALS[s]), "latin")
+
+
 def bare(name: str) -> str:
     """A name up to a possessive."""
     end = ENDING.search(name)
@@ -168,6 +198,8 @@ def canonical(kind: str, value: str) -> str:
     """What all mentions of an entity share."""
     if kind == "email":
         return value.lower()
+    if kind == "ipv6":
+        return IPv6Address(value).exploded
     if kind in {"mac", "iban"}:
         plain = re.sub(r"[ :-]", "", value)
         return plain.lower() if kind == "mac" else plain
@@ -184,10 +216,10 @@ def parts_of_mention(kind: str, value: str, cast: Cast) -> list[tuple[int, int,
     for k, m in enumerate(names):
         word, is_last = m[0].casefold(), k == len(names) - 1
         if is_last if who else word not in given or (is_last and word in surnames):
-            gender, script = who or surnames[word]
+            gender, script = (who or surnames[word])[0], script_of(word)
             out.append((*m.span(), f"surname {'n' if script == 'latin' else gender} {script}", word))
         else:
-            gender, script = who if who and who[0] != "n" else given.get(word, who)
+            gender, script = (who if who and who[0] != "n" else given.get(word, who))[0], script_of(word)
             out.append((*m.span(), f"given {gender} {script}", word))
     return out
 
@@ -198,6 +230,11 @@ def in_format(kind: str, made: str, value: str) -> str:
         return made.upper() if value.isupper() else made.title()
     if kind == "email":
         return made[: -len(value)] + "".join(c.upper() if v.isupper() else c for c, v in zip(made[-len(value) :], value, strict=True))
+    if kind == "ipv6":
+        before, gap, after = value.partition("::")
+        groups, left, right_ = made.split(":"), before.split(":") if before else [], after.split(":") if after else []
+        written = lambda old, new: [(n.upper() if o != o.lower() else n)[-max(len(o), len(n.lstrip("0"))) :] for o, n in zip(old, new, strict=True)]
+        return ":".join(written(left, groups[: len(left)])) + gap + ":".join(written(right_, groups[len(groups) - len(right_) :]))
     if kind in {"mac", "iban", "card", "ssn", "phone"}:
         chars = iter(made.upper() if kind == "mac" and value != value.lower() else made.lstrip("+"))
         return "".join([next(chars) if c.isalnum() else c for c in value]) + "".join(chars)
@@ -228,29 +265,41 @@ class Stream:
         return out
 
 
+@lru_cache(maxsize=1 << 12)
+def letters_like(c: str) -> str:
+    """The letters of the same case in the character's part (128 places) of the code table."""
+    part = map(chr, range(ord(c) & ~0x7F, (ord(c) | 0x7F) + 1))
+    return "".join(x for x in part if x.isalpha() and x.isupper() == c.isupper() and x.islower() == c.islower() and len(x.lower()) == len(x.upper()) == 1) or c
+
+
 def same_shape(value: str, stream: Stream, hexadecimal: bool = False) -> str:
-    """Digits for digits and letters for letters of the same case; the rest stays."""
+    """Digits for digits and letters for letters of the same case and script; the rest stays."""
     out = []
     for c in value:
         if hexadecimal and c in "0123456789abcdefABCDEF":
             h = "0123456789abcdef"[stream.below(16)]
             out.append(h.upper() if c.isupper() else h)
         elif c.isdecimal():
-            out.append("0123456789"[stream.below(10)])
+            out.append(chr(ord(c) - int(c) + stream.below(10)))
         elif c.isalpha():
-            letter = chr(97 + stream.below(26))
-            out.append(letter.upper() if c.isupper() else letter)
+            some = letters_like(c)
+            out.append(some[stream.below(len(some))])
         else:
             out.append(c)
     return "".join(out)
 
 
+def iban_rest(value: str) -> int:
+    """Of an IBAN without blanks the remainder by 97, which is 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def luhn(digits: str) -> int:
     """The sum that is a multiple of 10 for right card numbers."""
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits)))
 
 
-#: After so many attempts in vain, which a format with too few values left takes, surrogates grow longer by one character (IP addresses don't; names grow with each attempt).
+#: After so many attempts in vain, which a format with too few values left takes, surrogates grow longer by one character (addresses don't; names grow with each attempt).
 PATIENCE = 8
 
 
@@ -261,7 +310,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     name = kind.startswith(("given ", "surname "))
     stream, longer = Stream(key, kind, value, attempt), attempt if name else attempt // PATIENCE
     while True:
-        made = derive(kind, value if name else "0" * longer + value if kind == "email" else value if kind == "ip" else value + "0" * longer, stream, longer)
+        made = derive(kind, value if name else "0" * longer + value if kind == "email" else value if kind in {"ip", "ipv6"} else value + "0" * longer, stream, longer)
         if made != value:
             return made
 
@@ -275,8 +324,12 @@ def derive(kind: str, value: str, stream: Stream, longer: int = 0) -> str:
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind == "mac":
         return same_shape(value, stream, hexadecimal=True)
+    if kind == "ipv6":  # groups of zeros stay, others keep their number of digits
+        groups = [g.lstrip("0") for g in value.split(":")]
+        return ":".join(("" if not g else "123456789abcdef"[stream.below(15)] + same_shape(g[1:], stream, hexadecimal=True)).rjust(4, "0") for g in groups)
     if kind == "iban":
-        return value[:2] + same_shape(value[2:], stream)
+        made = value[:2] + same_shape(value[2:], stream)
+        return made[:2] + f"{98 - iban_rest(made[:2] + '00' + made[4:]):02d}" + made[4:] if iban_rest(value) == 1 or longer else made
     if kind == "phone":
         country = COUNTRY.match(value)
         at = country.end() if country else 0
@@ -350,7 +403,8 @@ def surrogates(found: DataFrame, secret: bytes, rounds: int = 40) -> DataFrame:
 
 def replace(docs: DataFrame, secret: bytes, text: str = "text", count: str | None = "n_entities") -> DataFrame:
     """docs with every entity of the text replaced; count names a further column with the number replaced, unless it is None."""
-    names, key, pairs = docs.columns, "__pii_key", "__pii_map"
+    names = docs.columns
+    key, pairs, number = (free(f"__pii_{x}", names) for x in ("key", "map", "count"))
     suspected = suspicious(F.col(text))
     suspects = docs.filter(suspected).withColumn(key, F.sha2(F.col(text).cast("binary"), 256))
     found = stored(entities(suspects, text, key).distinct(), "pii-found")
@@ -372,17 +426,36 @@ def replace(docs: DataFrame, secret: bytes, text: str = "text", count: str | Non
                 new.append("".join([*parts, t[last:]]))
                 counts.append(n)
             cols = [*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 : len(names)]]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, "__pii_count"])
+            return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, number])
 
         return step
 
     quoted = [F.col(f"`{c}`") for c in names]
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes), "`__pii_count` long"])
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes), f"`{number}` long"])
     changed = map_rows(suspects.join(maps, key, "left").select(*quoted, pairs), schema, make)
-    out = docs.filter(~suspected).select(*quoted, F.lit(0).cast("long").alias("__pii_count")).union(changed)
-    return out.withColumnRenamed("__pii_count", count) if count else out.drop("__pii_count")
+    out = docs.filter(~suspected).select(*quoted, F.lit(0).cast("long").alias(number)).union(changed)
+    return out.withColumnRenamed(number, count) if count else out.drop(number)
+
+
+def free(name: str, names: list[str]) -> str:
+    """A column name that isn't taken, whatever the case of its letters."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
+#: The setting that holds the key, as text.
+KEY = "spark.millrace.pii.key"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; drawn at random where none is set."""
+    if not (found := spark.conf.get(KEY, None)):
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY, found)
+    return found.encode()
 
 
-def redact(docs: DataFrame, secret: bytes = b"millrace") -> DataFrame:
+def redact(docs: DataFrame, secret: bytes | None = None) -> DataFrame:
     """doc_id, text with surrogates, n_entities."""
-    return replace(docs.select("doc_id", "text"), secret)
+    return replace(docs.select("doc_id", "text"), secret or key_of(docs.sparkSession))

@@ -557,6 +557,75 @@ def test_names_stay_distinct(spark):
     assert len(rows) == len({r.surrogate for r in rows}) == 120
 
 
+PLANTED = [
+    "write to {} now", "({})", "x {}.", "{}", "one {}, two",
+]
+
+
+def planted(random):
+    """Texts with entities at known places, made without the operator: (text, [(start, end)])."""
+
+    def card():
+        body = "4" + "".join(str(random.integers(10)) for _ in range(14))
+        total = sum(sum(divmod(2 * int(d), 10)) if k % 2 == 0 else int(d) for k, d in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    def iban():
+        body = "".join(str(random.integers(10)) for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    digits = lambda n: "".join(str(random.integers(10)) for _ in range(n))
+    makers = [
+        lambda: f"user{digits(3)}@mail{digits(1)}.example.org", lambda: f"{random.integers(1, 255)}.{random.integers(255)}.{random.integers(255)}.{random.integers(1, 255)}", card, iban,
+        lambda: f"+1 ({random.integers(200, 999)}) 555-{digits(4)}", lambda: f"+4915{digits(8)}", lambda: f"{random.integers(100, 999)}-{digits(2)}-{digits(4)}", lambda: f"2001:db8:{digits(4)}::{random.integers(1, 9999)}",
+        lambda: f"00:1b:{digits(2)}:ab:{digits(2)}:ef", lambda: "AKIA" + "".join(random.choice(list("ABCDEFGH23456"), 16)),
+    ]
+    out = []
+    for make in makers:
+        for around in PLANTED:
+            entity = make()
+            at = around.index("{}")
+            out.append((around.format(entity), at, at + len(entity)))
+    return out
+
+
+def test_planted_entities_are_replaced_whole_and_nothing_else(spark):
+    """An oracle of its own: entities at known places, and texts that only look like some."""
+    rows = planted(np.random.default_rng(9))
+    clean = ["card 9807915762804490 fails its check", "version 1.2.3 of 2024-01-02 12:30:45", "std::vector<int> a::b", "ratio 10:20:30", "The Dr is in", "no. 123456", "price 1 200 300 000 500"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([t for t, *_ in rows] + clean)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.redact(df, b"a key").collect()}
+    for k, (text, a, b) in enumerate(rows):
+        now = got[k].text
+        assert got[k].n_entities == 1 and now[:a] == text[:a] and now[len(now) - len(text) + b :] == text[b:] and now[a : len(now) - len(text) + b] != text[a:b], (text, now)
+    assert [got[len(rows) + k].text for k in range(len(clean))] == clean
+    other = {r.doc_id: r.text for r in pii.redact(df, b"another").collect()}
+    assert sum(other[k] != got[k].text for k in range(len(rows))) == len(rows)
+
+
+def test_surrogates_stay_valid_and_in_their_script():
+    iban = "".join(pii.surrogate(b"k", "iban", "DE89370400440532013000"))
+    assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1 and iban[:2] == "DE" and len(iban) == 22
+    assert re.fullmatch(r"\+1\d{10}", pii.surrogate(b"k", "phone", "+15551234567"))
+    made = pii.same_shape("Слово ٠١٢ Ωμέγα", pii.Stream(b"k", "x", "y", 0))
+    assert all(pii.script_of(a) == pii.script_of(b) for a, b in zip(made.split()[0], "Слово", strict=True)) and all("\u0660" <= c <= "\u0669" for c in made.split()[1]) and made[0].isupper()
+    text = "Dr. Anna Lee, κ. Γιώργος Παππάς and 2001:0DB8::00ff met г-н Иван Петров; Anna Lee left Παππάς."
+    found = pii.spans(text)
+    assert [text[a:b] for a, b, _ in found] == ["Dr. Anna Lee", "κ. Γιώργος Παππάς", "2001:0DB8::00ff", "г-н Иван Петров", "Anna Lee", "Παππάς"]
+    known = {}
+    cast = pii.cast_of(text, found)
+    new = [pii.render(kind, text[a:b], cast, lambda k, v: known.setdefault((k, v), pii.surrogate(b"k", k, v))) for a, b, kind in found]
+    assert new[0].removeprefix("Dr. ") == new[4] and new[1].split()[2] == new[5] and re.fullmatch(r"[0-9a-fA-F]{4}:0?[0-9A-F]{3,4}::00[0-9a-f]{2}", new[2]), new
+    assert all(0x370 <= ord(c) < 0x400 for c in new[5]) and all(0x400 <= ord(c) < 0x500 for c in new[3].split()[2])
+
+
+def test_pii_with_clashing_columns_and_the_session_key(spark):
+    df = spark.createDataFrame([("a", "mail a.b@c.org", 1, 2)], "__pii_key string, text string, __PII_MAP long, __pii_count long")
+    got = pii.replace(df, b"k").first()
+    assert got["__pii_key"] == "a" and got["__PII_MAP"] == 1 and got["__pii_count"] == 2 and got.n_entities == 1 and "a.b@c" not in got.text
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 64
+
+
 # ---- 10
 
 
