@@ -48,7 +48,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
     prepare(spark)
-    return pii.replace(docs, b"millrace", count=None)
+    return pii.replace(docs, pii.key_of(spark), count=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
