@@ -197,7 +197,7 @@ def indexed(docs: DataFrame, lvl, clashes: frozenset[int], words: int, num: int,
                 done.add(cls)
                 head = prefix(s, lvl.value, 0, num, den)
                 cool = int(np.count_nonzero(lvl.value[(head & U(SKETCH - 1)).astype(np.int64)] < hot_level))
-                rows.append((cls, len(s), head, cool))
+                rows.append((cls, len(s), head >> U(16) << U(16), cool))  # 48 bits, the others zero: they pack away with the row's head
             if rows:
                 cls, n, heads, cool = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), lists_of(list(heads)), pa.array(cool, pa.int32())], ["cls", "n", "tokens", "cool"])
@@ -334,8 +334,9 @@ def fetched(docs: DataFrame, wanted: DataFrame, owners: DataFrame, make, name: s
 
 def shared_lists(index: DataFrame, any_hot: bool) -> DataFrame:
     """tok, cls, n, rest and size: the index's lists of at least two classes. rest counts the shingles from this one on, which bounds the overlap if it is the first common one."""
-    postings = index.select("cls", "n", "cool", F.posexplode("tokens").alias("pos", "tok"))
-    at = (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("at")  # packed with the size to move less
+    # size and place in as few bits as they take, to move less: a place is below a quarter of the size, so that the size's leading bit tells where the place begins
+    postings = index.select("cls", "n", "cool", (F.length(F.bin("n")) - 1).alias("b"), F.posexplode("tokens").alias("pos", "tok"))
+    at = F.expr("shiftleft(n, b) + pos").alias("at")
     w = Window.partitionBy("tok")
     cool = (postings.filter("pos < cool") if any_hot else postings).select("tok", "cls", at)
     found = cool.select("*", F.min("cls").over(w).alias("one"), F.max("cls").over(w).alias("last")).filter("one <> last")
@@ -344,18 +345,20 @@ def shared_lists(index: DataFrame, any_hot: bool) -> DataFrame:
         hot = postings.filter("pos >= cool").select("tok", "cls", at).dropDuplicates(["tok", "cls"])
         sizes = hot.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         found = found.unionByName(hot.join(sizes, "tok"))
-    size, rest = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int")
-    return stored(found.select("tok", "cls", size.alias("n"), rest.alias("rest"), "size"), "shared")
+    sized = found.withColumn("b", ((F.length(F.bin("at")) - 1) / 2).cast("int")).withColumn("n", F.expr("shiftright(at, b)"))
+    return stored(sized.select("tok", "cls", F.col("n").cast("int").alias("n"), F.expr("cast(n - (at - shiftleft(n, b)) AS int)").alias("rest"), "size"), "shared")
 
 
 def with_hubs(shared: DataFrame, hot: int) -> DataFrame:
     """The lists with the hub of each: the more of its prefix a class shares, and with the more others, the more central it is among near copies."""
     central = stored(shared.groupBy("cls").agg((F.sum("size") / (F.first("n") + 1)).alias("weight")), "central")
-    rows, best = shared.join(central, "cls"), F.max(F.struct("weight", "cls", "n", "rest"))
+    best = F.max(F.struct("weight", "cls", "n", "rest"))
     columns = ["tok", "cls", "n", "rest", "hub"]
-    out = rows.filter(F.col("size") < hot).withColumn("hub", best.over(Window.partitionBy("tok"))).select(columns)
-    if not shared.filter(F.col("size") >= hot).isEmpty():
-        large = rows.filter(F.col("size") >= hot)
+    any_hot = not shared.filter(F.col("size") >= hot).isEmpty()
+    small = (shared.filter(F.col("size") < hot) if any_hot else shared).drop("size").join(central, "cls")
+    out = small.withColumn("hub", best.over(Window.partitionBy("tok"))).select(columns)
+    if any_hot:
+        large = shared.filter(F.col("size") >= hot).drop("size").join(central, "cls")
         out = out.unionByName(large.join(large.groupBy("tok").agg(best.alias("hub")), "tok").select(columns))
     return stored(out, "lists")
 
