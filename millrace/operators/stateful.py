@@ -28,7 +28,8 @@ Row = dict[str, Any]
 
 
 class Machine(Protocol):
-    """One branch's state."""
+    """One branch's state. On streams, where rows come in the order of time as well, three more functions may be there: due(), the time at which tick(now) has
+    something to do although no row comes, and idle(now), whether the state can be forgotten. A machine's attributes are what is kept between triggers."""
 
     def see(self, row: Row) -> Iterator[Row]:
         """Rows to put out for a row that came."""
@@ -75,8 +76,8 @@ def in_order(df: DataFrame, branch: Sequence[str], order: Sequence[str], machine
     return dealt.mapInArrow(lambda batches: batched(rows_of(batches), arrow), made)
 
 
-def deduplicate(df: DataFrame, on: Sequence[str], time: str, seq: str, horizon_seconds: float) -> DataFrame:
-    """The first row of a key passes; equal keys are suppressed until the horizon has passed since. Suppressed rows don't prolong it."""
+def gate(time: str, horizon_seconds: float) -> Callable[[], Machine]:
+    """Deduplication of one key."""
     horizon = timedelta(seconds=horizon_seconds)
 
     class Gate:
@@ -91,7 +92,18 @@ def deduplicate(df: DataFrame, on: Sequence[str], time: str, seq: str, horizon_s
         def end(self) -> Iterator[Row]:
             return iter(())
 
-    return in_order(df, on, [time, seq], Gate, df.schema)
+        def due(self) -> Any:
+            return self.until
+
+        def idle(self, now: Any) -> bool:
+            return self.until is None or now >= self.until
+
+    return Gate
+
+
+def deduplicate(df: DataFrame, on: Sequence[str], time: str, seq: str, horizon_seconds: float) -> DataFrame:
+    """The first row of a key passes; equal keys are suppressed until the horizon has passed since. Suppressed rows don't prolong it."""
+    return in_order(df, on, [time, seq], gate(time, horizon_seconds), df.schema)
 
 
 Make = Callable[[Row, Row], Row]
@@ -102,14 +114,26 @@ def correlate(left: DataFrame, right: DataFrame, branch: Sequence[str], time: st
     side that matches (any, without a predicate), and both are gone. Rows that wait longer than the horizon, or to the end, go to timed_out(side, row).
 
     Without predicate and horizon the pairs follow from counting and Spark finds them; native=False runs the machine then, too."""
-    if match not in {"earliest", "latest"}:
-        raise ValueError(f"no match mode {match}")
+    both = sides(left, right, branch, time, seq)
+    if native and matches is None and horizon_seconds is None:
+        if match not in {"earliest", "latest"}:
+            raise ValueError(f"no match mode {match}")
+        return counted(both, branch, time, seq, schema, make, match, timed_out)
+    return in_order(both, branch, [time, seq], pairing(time, make, matches, match, horizon_seconds, timed_out), schema)
+
+
+def sides(left: DataFrame, right: DataFrame, branch: Sequence[str], time: str, seq: str) -> DataFrame:
+    """Both sides' rows in one table; __side tells them apart."""
     fields = sorted({*left.columns, *right.columns} - {*branch, time, seq})
     kinds = dict(left.dtypes) | dict(right.dtypes)
     cast = lambda df, side: df.select(*branch, time, seq, F.lit(side).alias("__side"), *[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in fields])
-    both = cast(left, "left").unionByName(cast(right, "right"))
-    if native and matches is None and horizon_seconds is None:
-        return counted(both, branch, time, seq, schema, make, match, timed_out)
+    return cast(left, "left").unionByName(cast(right, "right"))
+
+
+def pairing(time: str, make: Make, matches: Callable[[Row, Row], bool] | None, match: str, horizon_seconds: float | None, timed_out: Callable[[str, Row], Row | None]) -> Callable[[], Machine]:
+    """Correlation of one branch."""
+    if match not in {"earliest", "latest"}:
+        raise ValueError(f"no match mode {match}")
     horizon = None if horizon_seconds is None else timedelta(seconds=horizon_seconds)
 
     class Pairs:
@@ -144,7 +168,18 @@ def correlate(left: DataFrame, right: DataFrame, branch: Sequence[str], time: st
                     if (out := timed_out(side, row)) is not None:
                         yield out
 
-    return in_order(both, branch, [time, seq], Pairs, schema)
+        def due(self) -> Any:
+            oldest = [next(iter(rows.values()))[time] for rows in self.waiting.values() if rows]
+            return min(oldest) + horizon + timedelta(milliseconds=1) if oldest and horizon is not None else None
+
+        def tick(self, now: Any) -> Iterator[Row]:
+            if horizon is not None:
+                yield from self.expire(now)
+
+        def idle(self, now: Any) -> bool:
+            return not any(self.waiting.values())
+
+    return Pairs
 
 
 def counted(both: DataFrame, branch: Sequence[str], time: str, seq: str, schema: str, make: Make, match: str, timed_out: Callable[[str, Row], Row | None]) -> DataFrame:
@@ -184,6 +219,11 @@ def anchored_windows(
     On closing, what is older than the step leaves: a window closed by messages moves by the step's messages, one closed by time by the step's time,
     and by the other kind if the step has only that. At the end of the data time windows still close, message windows don't. Rows that left
     are handed over as removed for delay_seconds more, counted from the closing that removed them."""
+    return in_order(df, branch, [time, seq], buffering(time, make, width_seconds, step_seconds, messages, step_messages, delay_seconds), schema)
+
+
+def buffering(time: str, make: Callable[[list[Row], Any, list[Row]], Row], width_seconds: float | None = None, step_seconds: float | None = None, messages: int | None = None, step_messages: int | None = None, delay_seconds: float = 0.0) -> Callable[[], Machine]:
+    """Windows of one branch."""
     if width_seconds is None and messages is None or step_seconds is None and step_messages is None:
         raise SchemaError("a window has a width and a step")
     for width, step in ((width_seconds, step_seconds), (messages, step_messages)):
@@ -228,7 +268,33 @@ def anchored_windows(
             while width is not None and self.rows:
                 yield from self.close(self.start + width, False)
 
-    return in_order(df, branch, [time, seq], Buffer, schema)
+        def due(self) -> Any:
+            return self.start + width if width is not None and self.rows else None
+
+        def tick(self, now: Any) -> Iterator[Row]:
+            while width is not None and self.rows and self.start + width <= now:
+                yield from self.close(self.start + width, False)
+
+        def idle(self, now: Any) -> bool:
+            return not self.rows and all(at + delay <= now for at, _ in self.removed)
+
+    return Buffer
+
+
+def releasing() -> Callable[[], Machine]:
+    """Rows as they come: what reorders a stream, whose rows come in order."""
+
+    class Release:
+        def see(self, row: Row) -> Iterator[Row]:
+            yield row
+
+        def end(self) -> Iterator[Row]:
+            return iter(())
+
+        def idle(self, now: Any) -> bool:
+            return True
+
+    return Release
 
 
 def aggregated(aggregates: Mapping[str, Aggregate]) -> Callable[[list[Row], Any, list[Row]], Row]:

@@ -1,19 +1,25 @@
-"""Nodes over streams: routes need no state, the others keep keyed state with a time to live.
+"""Nodes over streams: routes need no state, the others keep keyed state that ends.
 
-Batch and stream share their definitions: routes and unions are the same functions on a streaming DataFrame. State needs
-the RocksDB provider (see configure()); at-least-once delivery follows from checkpoints.
+Batch and stream share their definitions: routes and unions are the same functions on a streaming DataFrame, and state machines the
+same classes. Rows wait until the watermark has passed them and reach their branch's machine in the order of time, so that a
+stream gives what the batch gives, whatever the order of arrival; later rows are dropped. Timers close windows and expire waiting rows where no
+row comes. A branch's state is removed once its machine is idle, or after its time to live. State needs the RocksDB
+provider (see configure()); at-least-once delivery follows from checkpoints.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators import stateful
+from millrace.operators.stateful import Machine, schema_of
 from millrace.operators.windows import Aggregate, by_time
 
 
@@ -21,63 +27,122 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class Gate(StatefulProcessor):
-    """Deduplication: one passing time for each key, forgotten after the horizon."""
+def millis(at: datetime) -> int:
+    """Milliseconds since 1970; times without a zone count as UTC, as they do for watermarks."""
+    return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
 
-    def __init__(self, time: str, seq: str, horizon_seconds: float, columns: Sequence[str]):
-        self.time, self.seq, self.seconds, self.columns = time, seq, horizon_seconds, list(columns)
+
+class InOrder(StatefulProcessor):
+    """One branch: the rows that the watermark hasn't passed yet, and a machine that has seen all others."""
+
+    def __init__(self, machine: Callable[[], Machine], time: str, seq: str, fields: list[str], ttl_seconds: float | None, zoned: bool):
+        self.machine, self.time, self.seq, self.fields, self.ttl, self.zoned = machine, time, seq, fields, ttl_seconds, zoned
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.until = handle.getValueState("until", S.StructType([S.StructField("until", S.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values([self.time, self.seq])
-        until = self.until.get()[0] if self.until.exists() else None
-        keep = []
-        for at in pdf[self.time].astype("datetime64[us]").astype("int64"):
-            passes = until is None or at >= until
-            until = at + int(self.seconds * 1e6) if passes else until
-            keep.append(passes)
-        self.until.update((until,))
-        yield pdf[keep][self.columns]
+        self.handle = handle
+        self.kept = handle.getValueState("kept", S.StructType([S.StructField("raw", S.BinaryType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self.advance([r.asDict(recursive=False) for r in rows], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self.advance([], timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, new: list[dict], now: int) -> Iterator[Row]:
+        waiting, kept, last = pickle.loads(self.kept.get()[0]) if self.kept.exists() else ([], None, None)
+        machine = self.machine()
+        if kept is not None:
+            machine.__dict__.update(kept)
+        waiting = sorted([*waiting, *new], key=lambda r: (r[self.time], r[self.seq]))
+        ready = sum(millis(r[self.time]) <= now for r in waiting)
+        at = datetime.fromtimestamp(now / 1000, UTC)
+        at = at if self.zoned else at.replace(tzinfo=None)
+        for row in waiting[:ready]:
+            if self.over(last, row[self.time]):
+                yield from self.put(machine.end())
+                machine = self.machine()
+            last = row[self.time]
+            yield from self.put(machine.see(row))
+        waiting = waiting[ready:]
+        if hasattr(machine, "tick"):
+            yield from self.put(machine.tick(at))
+        idle = hasattr(machine, "idle") and machine.idle(at)
+        dead = self.over(last, at)
+        if dead and not idle:
+            yield from self.put(machine.end())
+        if not waiting and (idle or dead):
+            self.kept.clear()
+            return
+        self.kept.update((pickle.dumps((waiting, None if dead else machine.__dict__, None if dead else last)),))
+        due = machine.due() if hasattr(machine, "due") and not dead else None
+        ends = [last + timedelta(seconds=self.ttl)] if self.ttl is not None and last and not dead else []
+        times = [*(r[self.time] for r in waiting[:1]), *([due] if due else []), *ends]
+        if times:
+            self.handle.registerTimer(max(now + 1, millis(min(times))))
+
+    def over(self, last: datetime | None, now: datetime) -> bool:
+        """Whether a branch has had no row for longer than its time to live."""
+        return self.ttl is not None and last is not None and last + timedelta(seconds=self.ttl) < now
+
+    def put(self, rows: Iterator[dict]) -> Iterator[Row]:
+        for row in rows:
+            yield Row(**{f: row[f] for f in self.fields})
 
     def close(self) -> None:
         pass
 
 
-def deduplicate(stream: DataFrame, on: Sequence[str], time: str, seq: str, horizon_seconds: float) -> DataFrame:
-    """As the batch node: suppressed rows don't prolong the horizon. Rows of one trigger are taken in order of time."""
-    gate = Gate(time, seq, horizon_seconds, stream.columns)
-    return stream.groupBy(*on).transformWithStateInPandas(gate, stream.schema, "Append", "None")
+def in_order(stream: DataFrame, branch: Sequence[str], time: str, seq: str, machine: Callable[[], Machine], schema: str | S.StructType, late: str, ttl_seconds: float | None = None) -> DataFrame:
+    """Run a machine over every branch of a stream, whose rows come up to late out of order. After ttl_seconds without a row a branch ends as the batch does."""
+    made = schema_of(schema)
+    processor = InOrder(machine, time, seq, made.fieldNames(), ttl_seconds, stream.schema[time].dataType != S.TimestampNTZType())
+    return stream.withWatermark(time, late).groupBy(*branch).transformWithState(processor, made, "Append", "EventTime")
 
 
-class Latest(StatefulProcessor):
-    """Materialised state: the row of the highest time."""
+def deduplicate(stream: DataFrame, on: Sequence[str], time: str, seq: str, horizon_seconds: float, late: str = "10 minutes") -> DataFrame:
+    """As the batch node: suppressed rows don't prolong the horizon, after which a key is forgotten."""
+    return in_order(stream, on, time, seq, stateful.gate(time, horizon_seconds), stream.schema, late)
 
-    def __init__(self, time: str, seq: str, columns: Sequence[str], schema: S.StructType):
-        self.time, self.seq, self.columns, self.schema = time, seq, list(columns), schema
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", S.StructType([S.StructField("at", S.LongType()), S.StructField("seq", S.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows))
-        at = pdf[self.time].astype("datetime64[us]").astype("int64")
-        order = pd.DataFrame({"at": at.to_numpy(), "seq": -pdf[self.seq].to_numpy()}).sort_values(["at", "seq"])
-        last = order.index[-1]
-        new = (int(order["at"].iloc[-1]), int(-order["seq"].iloc[-1]))
-        old = tuple(self.best.get()) if self.best.exists() else None
-        if old is None or new[0] > old[0]:
-            self.best.update(new)
-            yield pdf.iloc[[last]][self.columns]
+def reorder(stream: DataFrame, branch: Sequence[str], time: str, seq: str, late: str) -> DataFrame:
+    """Each branch's rows in the order of time, ties by arrival; a row waits for late at most."""
+    return in_order(stream, branch, time, seq, stateful.releasing(), stream.schema, late)
 
-    def close(self) -> None:
-        pass
 
+def correlate(
+    left: DataFrame, right: DataFrame, branch: Sequence[str], time: str, seq: str, schema: str, make: stateful.Make, late: str, horizon_seconds: float, matches: Callable[[dict, dict], bool] | None = None, match: str = "earliest", timed_out: Callable[[str, dict], dict | None] = lambda side, row: None
+) -> DataFrame:
+    """As the batch node; unmatched rows leave when the watermark passes their horizon."""
+    machine = stateful.pairing(time, make, matches, match, horizon_seconds, timed_out)
+    return in_order(stateful.sides(left, right, branch, time, seq), branch, time, seq, machine, schema, late)
+
+
+def anchored_windows(stream: DataFrame, branch: Sequence[str], time: str, seq: str, schema: str, make: Callable[[list[dict], object, list[dict]], dict], late: str, ttl_seconds: float | None = None, **bounds) -> DataFrame:
+    """As the batch node, by the same bounds; windows close by timers where no row comes."""
+    return in_order(stream, branch, time, seq, stateful.buffering(time, make, **bounds), schema, late, ttl_seconds)
+
+
+def guest(stream: DataFrame, branch: Sequence[str], time: str, seq: str, machine: Callable[[], Machine], schema: str, late: str, ttl_seconds: float) -> DataFrame:
+    """A stateful processor written by a user; a branch ends after ttl_seconds without a row."""
+    return in_order(stream, branch, time, seq, machine, schema, late, ttl_seconds)
+
+
+def latest(stream: DataFrame, branch: Sequence[str], time: str, seq: str, late: str = "10 minutes", ttl_seconds: float = 86400) -> DataFrame:
+    """Materialised state: every row that is its branch's newest when its turn comes, as a change. The last change is the branch's state (see snapshot())."""
+
+    class Latest:
+        def __init__(self) -> None:
+            self.best = None
+
+        def see(self, row: dict) -> Iterator[dict]:
+            if self.best is None or row[time] > self.best:  # of equal times the first stays
+                self.best = row[time]
+                yield row
+
+        def end(self) -> Iterator[dict]:
+            return iter(())
 
-def latest(stream: DataFrame, branch: Sequence[str], time: str, seq: str) -> DataFrame:
-    """Each branch's new state whenever it changes."""
-    return stream.groupBy(*branch).transformWithStateInPandas(Latest(time, seq, stream.columns, stream.schema), stream.schema, "Update", "None")
+    return in_order(stream, branch, time, seq, Latest, stream.schema, late, ttl_seconds)
 
 
 def windowed(stream: DataFrame, branch: Sequence[str], time: str, order: Sequence[str], width: str, step: str, aggregates: Mapping[str, Aggregate], late: str) -> DataFrame:

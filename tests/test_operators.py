@@ -151,29 +151,89 @@ def test_udf_spares_nulls(spark):
     assert sorted(r[0] or 0 for r in df.select(double(field("x", "I64")).value).collect()) == [0, 2]
 
 
-def test_streamed_deduplication(spark, tmp_path):
+def streamed(spark, tmp_path, df, make, parts=3):
+    """All rows that a streaming node puts out over df, written in several files in an order of its own; a last row of another branch, years later, lets the watermark pass."""
     streams.configure(spark)
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    df = spark.createDataFrame([("k", i, at(s)) for i, s in enumerate((0, 6, 9, 10, 15, 25))], "id string, seq long, ts timestamp")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = df.collect()
+    random.Random(5).shuffle(rows)
+    for k in range(parts):
+        spark.createDataFrame(rows[k::parts], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = []
-    query = streams.emit(streams.deduplicate(stream, ["id"], "ts", "seq", 10), lambda b, _: got.extend(r.seq for r in b.collect()), str(tmp_path / "check")).start()
-    query.awaitTermination(120)
+    query = streams.emit(make(stream), lambda b, _: got.extend(b.collect()), str(tmp_path / "check")).start()
+    query.awaitTermination(180)
     assert query.exception() is None
-    assert sorted(got) == [0, 3, 5]
+    return got
+
+
+LAST = dt.datetime(2030, 1, 1)
+
+
+def stamped(spark, times):
+    rows = [("k", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for i, s in enumerate(times)] + [("end", 10**6, LAST)]
+    return spark.createDataFrame(rows, "id string, seq long, ts timestamp")
+
+
+def test_streamed_deduplication(spark, tmp_path):
+    df = stamped(spark, (0, 6, 9, 10, 15, 25))
+    got = streamed(spark, tmp_path, df, lambda s: streams.deduplicate(s, ["id"], "ts", "seq", 10))
+    assert sorted(r.seq for r in got if r.id == "k") == [0, 3, 5]
+
+
+def test_streamed_reordering(spark, tmp_path):
+    df = stamped(spark, (5, 3, 9, 1, 1))
+    got = streamed(spark, tmp_path, df, lambda s: streams.reorder(s, ["id"], "ts", "seq", "1 hour"))
+    assert [r.seq for r in got if r.id == "k"] == [3, 4, 1, 0, 2]
+
+
+def test_streamed_windows_equal_the_batch(spark, tmp_path):
+    df = stamped(spark, (0, 1, 2, 8, 9, 30, 31, 55))
+    make = lambda rows, now, _: {"ids": [r["seq"] for r in rows], "closed": int(now.timestamp())}
+    how = {"width_seconds": 10, "step_seconds": 5, "messages": 3, "step_messages": 2}
+    schema = "ids array<long>, closed long"
+    got = streamed(spark, tmp_path, df, lambda s: streams.anchored_windows(s, ["id"], "ts", "seq", schema, make, "1 hour", **how))
+    want = stateful.anchored_windows(df.filter("id = 'k'"), ["id"], "ts", "seq", schema, make, **how).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 4
+
+
+def test_streamed_correlation_equals_the_batch(spark, tmp_path):
+    df = stamped(spark, (0, 1, 2, 3, 20, 21, 50, 52, 90))
+    make = lambda a, b: {"l": a["l"], "r": b["r"]}
+    late = lambda side, row: {"l": row["l"], "r": row["r"]}
+    left = lambda d: d.filter("seq % 3 = 0 OR id = 'end'").withColumn("l", F.col("seq"))
+    right = lambda d: d.filter("seq % 3 <> 0 AND id <> 'end'").withColumn("r", F.col("seq"))
+    got = streamed(spark, tmp_path, df, lambda s: streams.correlate(left(s), right(s), ["id"], "ts", "seq", "l long, r long", make, "1 hour", 10, timed_out=late))
+    want = stateful.correlate(left(df), right(df), ["id"], "ts", "seq", "l long, r long", make, horizon_seconds=10, timed_out=late).filter("l IS NULL OR l < 1000000").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) >= 5
+
+
+def test_streamed_guest_ends_after_its_time_to_live(spark, tmp_path):
+    class Count:
+        def __init__(self):
+            self.n = 0
+
+        def see(self, row):
+            self.n += 1
+            return iter(())
+
+        def end(self):
+            yield {"n": self.n}
+
+    got = streamed(spark, tmp_path, stamped(spark, (0, 1, 2, 100, 101)), lambda s: streams.guest(s, ["id"], "ts", "seq", Count, "n long", "1 hour", 10))
+    assert sorted(r.n for r in got) == [2, 3]
 
 
 def test_streamed_latest_state(spark, tmp_path):
-    streams.configure(spark)
     rows = [("a", 1, 10), ("b", 2, 20), ("a", 3, 30), ("b", 4, 15)]
-    df = spark.createDataFrame([(b, s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)) for b, s, t in rows], "branch string, seq long, ts timestamp")
+    df = spark.createDataFrame([*[(b, s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)) for b, s, t in rows], ("end", 9, LAST)], "branch string, seq long, ts timestamp")
+    streams.configure(spark)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = streams.emit(streams.latest(stream, ["branch"], "ts", "seq"), lambda b, n: streams.keep(b, n, str(tmp_path / "out")), str(tmp_path / "check"), mode="update").start()
+    query = streams.emit(streams.latest(stream, ["branch"], "ts", "seq"), lambda b, n: streams.keep(b, n, str(tmp_path / "out")), str(tmp_path / "check")).start()
     query.awaitTermination(120)
     assert query.exception() is None
-    assert sorted((r.branch, r.seq) for r in streams.snapshot(spark, str(tmp_path / "out"), ["branch"], "seq").collect()) == [("a", 3), ("b", 2)]
+    newest = streams.snapshot(spark, str(tmp_path / "out"), ["branch"], "ts").collect()
+    assert sorted((r.branch, r.seq) for r in newest if r.branch != "end") == [("a", 3), ("b", 2)]
 
 
 # ---- row errors never end a job
