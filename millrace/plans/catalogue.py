@@ -201,6 +201,16 @@ def fn_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed(vectors, "vec_id", first_value=call("first", v), last_value=call("last", v), third=call("nth", v, lit(2)), outside=call("nth", v, lit(-1)), size=call("count", v), summed=call("sum", array(lit(1), lit(2), lit(3))))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_orderkey + l_partkey + coalesce(nullif(l_suppkey % 3, 0), 0) AS BIGINT) AS summed, 3::BIGINT AS size, nullif(l_suppkey % 3, 0) AS last_value,
+CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 3 END AS small FROM lineitem""")
+def fn_list_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    m = of_table(lines)
+    third = call("nullif", m["l_suppkey"] % lit(3), lit(0))
+    values = array(m["l_orderkey"], m["l_partkey"], third)
+    return computed(lines, "l_orderkey", "l_linenumber", summed=call("sum", values), size=call("count", values), last_value=call("last", values), small=call("sum", array(third)))
+
+
 @query("""SELECT event_id, coalesce(nullif(event_type, 'error'), 'none') AS kind, nullif(event_type, 'error') IS NULL AS missing, concat(nullif(event_type, 'error'), '!') AS marked,
 CASE WHEN nullif(event_type, 'error') = 'click' THEN TRUE WHEN event_type = 'error' THEN NULL ELSE FALSE END AS clicked FROM events""")
 def fn_null(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -613,6 +623,21 @@ def xml_codec_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.rows.select("event_id", F.lit(True).alias("good"), "user_id", "kind").unionByName(failed)
 
 
+@query("""SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN 'refused' WHEN least(off, 3600000000 - off) <= 900000000 THEN 'taken' ELSE 'refused' END AS lane,
+CASE WHEN event_id % 7 <> 0 AND least(off, 3600000000 - off) <= 900000000 THEN epoch_us(ts) // 1000000 END AS low FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) % 3600000000 AS off FROM events WHERE event_type <> 'view')
+WHERE event_id % 7 = 0 OR event_type <> 'click' OR NOT least(off, 3600000000 - off) <= 900000000""")
+def ingest_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads with their own time in a paced domain; clicks are filtered out. Refused are bad payloads and rows too far from a tick."""
+    events = table(spark, sf_dir, "events").filter("event_type <> 'view'")
+    body = F.struct("event_id", "user_id", F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"))
+    sent = events.select("event_id", "user_id", F.when(F.col("event_id") % 7 == 0, "{").otherwise(F.to_json(body)).alias("payload")).withColumnsRenamed({"event_id": "id", "user_id": "user"})
+    route = Route(schema(event_id="I64", user_id="I64"), inherit="all")
+    fields = schema(event_id="I64", user_id="I64", kind="STRING", at="DATETIME")
+    out, refused = connectors.ingest(sent, "payload", fields, {"out": route}, "at", where=lambda m: m["kind"].ne(s("click")), pace=(F.lit("2024-01-01").cast("timestamp"), 3600, 900))
+    taken = out["out"].rows.select("event_id", "user_id", F.lit("taken").alias("lane"), F.unix_seconds("_wm_low").alias("low"))
+    return taken.unionByName(refused.select(F.col("id").alias("event_id"), F.col("user").alias("user_id"), F.lit("refused").alias("lane"), F.lit(None).cast("long").alias("low")))
+
+
 @query("""SELECT event_id, event_id AS one, user_id AS two FROM events WHERE event_id % 4 = 0""")
 def json_codec_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARRAY<I64,2>: other lengths, and elements of other types, are errors."""
@@ -623,10 +648,10 @@ def json_codec_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.decode_json(table(spark, sf_dir, "events").withColumn("raw", raw), "raw", schema(pair="ARRAY<I64,2>")).rows.select("event_id", F.get("pair", 0).alias("one"), F.get("pair", 1).alias("two"))
 
 
-@query("""SELECT o_orderkey AS "key", o_orderstatus || ':' || o_totalprice::VARCHAR IS NOT NULL AS there, CASE WHEN o_totalprice > 100000 THEN 'large' END AS size_class FROM orders""")
+@query("""SELECT o_orderkey AS "key", o_orderstatus || ':' || o_totalprice::VARCHAR IS NOT NULL AS there, o_orderstatus || ':' || regexp_replace(o_totalprice::VARCHAR, '[.]0$', '') AS label, CASE WHEN o_totalprice > 100000 THEN 'large' END AS size_class FROM orders""")
 def emitter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VALUES: an independent mapping of output columns."""
     orders = table(spark, sf_dir, "orders")
     m = of_table(orders)
     text = call("concat", m["o_orderstatus"], s(":"), cast(m["o_totalprice"], "STRING"))
-    return computed(orders, **{"key": m["o_orderkey"], "there": ~call("is_null", text), "size_class": case((m["o_totalprice"] > lit(100000.0), s("large")))})
+    return computed(orders, **{"key": m["o_orderkey"], "there": ~call("is_null", text), "label": text, "size_class": case((m["o_totalprice"] > lit(100000.0), s("large")))})
