@@ -36,8 +36,8 @@ def junction(sources: Sequence[tuple[DataFrame, Callable[[Message], Expr] | None
     message = of_table(df, sensitive)
     if where is not None:
         test = where(message)
-        if test.type != "BOOL":
-            raise SchemaError("a filter is BOOL")
+        if test.type != "BOOL" or test.lookups:
+            raise SchemaError("a filter is BOOL, and lookups belong to a route's assignments")
         df = df.filter(test.value)
     return {name: apply(df, message, route, keep) for name, route in routes.items()}
 

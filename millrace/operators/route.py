@@ -107,6 +107,8 @@ def apply(df: DataFrame, message: Message, route: Route, keep: tuple[str, ...] =
     sent: dict[str, Expr] = {}
     for name, make in route.errors:
         sent[name] = make({**seen, **sent})
+        if sent[name].lookups:
+            raise SchemaError("an error route has no lookups")
     bad = staged.filter(F.col("__error").isNotNull())
     return Routed(rows, bad.select(*[F.col(k) for k in keep], *[e.value.alias(n) for n, e in sent.items()]))
 

@@ -504,7 +504,8 @@ def linear_model(weights: list[float]) -> bytes:
 def inferencer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear model run by onnxruntime over batches of rows."""
     vectors = table(spark, sf_dir, "embeddings")
-    size = len(vectors.first().embedding)
+    one = vectors.filter("embedding IS NOT NULL").first()
+    size = len(one.embedding) if one else 1
     scored = stateful.infer(vectors, linear_model([float(k % 7 - 3) for k in range(size)]), {"rows": ("embedding", "F64", ("BATCH", size))}, {"scores": "scores"}, "vec_id long, scores array<double>", keep=["vec_id"])
     return scored.select("vec_id", F.round(F.get("scores", 0), 6).alias("score"))
 
