@@ -309,6 +309,36 @@ def test_quality_edges(odd, none):
     assert {"key", "score"} <= set(quality.judge(odd, keep=["key", "score"]).columns)
 
 
+def test_quality_equals_brute_force(spark, docs):
+    """Votes by the labellers' ranges, EM written out in loops over documents, and the scorer's order."""
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    seen = {}
+    for i, text in rows_of(docs, "doc_id", "text"):
+        x = quality.statistics(text or "")
+        seen[i] = [1 if lo <= v <= hi else 2 if bad_lo <= v <= bad_hi else 0 for v, (lo, hi), (bad_lo, bad_hi) in zip(x, quality.GOOD, quality.BAD, strict=True)]
+    post = {i: 1 / (1 + np.exp(2.0 * v.count(2) - v.count(1) - 1)) for i, v in seen.items()}
+    for _ in range(100):
+        prior = sum(post.values()) / len(post)
+        rate = {}
+        for k in range(len(quality.LABELLERS)):
+            for y in (0, 1):
+                votes = [0.5 + sum(post[i] if y else 1 - post[i] for i, v in seen.items() if v[k] == vote) for vote in (1, 2)]
+                for vote in (1, 2):
+                    rate[k, y, vote] = votes[vote - 1] / sum(votes)
+        new = {}
+        for i, v in seen.items():
+            odds = np.log(prior + 1e-9) - np.log(1 - prior + 1e-9) + sum(np.log(rate[k, 1, vote]) - np.log(rate[k, 0, vote]) for k, vote in enumerate(v) if vote)
+            new[i] = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        done = max(abs(new[i] - post[i]) for i in new) < 1e-7
+        if done:
+            break
+        post = new
+    assert all(abs(got[i].posterior - p) < 1e-4 for i, p in post.items())
+    assert all(got[i].votes == int("".join(map(str, v)), 3) for i, v in seen.items())
+    clear = [(p > 0.5) == (got[i].quality > 0.5) for i, p in post.items() if not 0.05 < p < 0.95]
+    assert np.mean(clear) > 0.95
+
+
 def test_em_finds_who_is_right():
     random = np.random.default_rng(0)
     truth = random.random(20000) < 0.7
@@ -769,6 +799,43 @@ def test_pipeline_stages(spark, docs, odd, none):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want
 
 
+def test_decisions_of_the_stages_take_effect(spark, docs, odd):
+    """Each stage against its decision, document by document."""
+    stages = dict(corpus_pipeline.STAGES)
+    for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        texts = dict(rows_of(df, "doc_id", "text"))
+        spoken = {r.doc_id for r in stages["language"](spark, df, SF).collect()}
+        assert all(any(map(str.isalpha, texts[i])) for i in spoken) and len(spoken) >= 0.9 * sum(any(map(str.isalpha, t or "")) for t in texts.values())
+        model = langid.train(df)
+        assert spoken == {i for i, t in texts.items() if model.predict(t or "")[0] != "und" and model.predict(t or "")[1] >= corpus_pipeline.LEAST_LANGUAGE}
+        judged = {r.doc_id: r.quality for r in quality.judge(df).collect()}
+        assert {r.doc_id for r in stages["quality"](spark, df, SF).collect()} == {i for i, q in judged.items() if q >= corpus_pipeline.LEAST_QUALITY}
+        said = {r.doc_id: r.text for r in pii.redact(df).collect()}
+        assert dict(rows_of(stages["pii"](spark, df, SF), "doc_id", "text")) == said
+        pieces_hold(df, stages["packing"](spark, df, SF).collect())
+
+
+def test_intermediate_tables_need_a_shared_folder(spark):
+    from millrace.llm import common
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    Session.conf.set("spark.checkpoint.dir", "hdfs://x/y/")
+    assert common.shared_dir(Session()) == "hdfs://x/y/app-1"
+
+
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 50 and got.columns == [c.split()[0] for c in packing.PIECES.split(", ")]
