@@ -316,7 +316,7 @@ def test_quality_equals_brute_force(spark, docs):
     for i, text in rows_of(docs, "doc_id", "text"):
         x = quality.statistics(text or "")
         seen[i] = [1 if lo <= v <= hi else 2 if bad_lo <= v <= bad_hi else 0 for v, (lo, hi), (bad_lo, bad_hi) in zip(x, quality.GOOD, quality.BAD, strict=True)]
-    post = {i: 1 / (1 + np.exp(2.0 * v.count(2) - v.count(1) - 1)) for i, v in seen.items()}
+    post = {i: 1 / (1 + np.exp(3.0 * v.count(2) - 0.5 * v.count(1) - 1)) for i, v in seen.items()}
     for _ in range(100):
         prior = sum(post.values()) / len(post)
         rate = {}
