@@ -137,8 +137,8 @@ def given(*parts: Expr) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """The value, or null if it isn't finite."""
-    return F.when(F.abs(value) < float("inf"), value)  # nan is larger than all others
+    """The value as a double, or null if it isn't finite. The operand is written once, so that nested arithmetic doesn't double in size by level."""
+    return F.nanvl(value % F.lit(float("inf")), F.lit(None).cast("double"))  # the rest by infinity is the value itself, or nan
 
 
 def within(value: Column, kind: str) -> Column:

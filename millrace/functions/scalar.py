@@ -476,7 +476,7 @@ def cast(x: Expr, to: str) -> Expr:
         elif to in INT:
             value = within(F.when(a.rlike(r"^[+-]?\d{1,20}$"), a).try_cast("decimal(38,0)"), to)
         else:
-            value = finite(F.when(a.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), a).try_cast("double").cast(spark))
+            value = finite(F.when(a.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), a).try_cast("double").cast(spark)).cast(spark)
     elif x.type in T.FLOATS and to in INT:
         size = F.abs(a.cast("double"))
         high = F.floor(size / 2.0**32)  # exact, as is the rest: no digit is lost on the way through decimals
@@ -493,7 +493,7 @@ def cast(x: Expr, to: str) -> Expr:
     elif to in INT:
         value = within(a, to)
     elif to in T.FLOATS and x.type in T.NUMBERS:
-        value = finite(a.cast(spark))
+        value = finite(a.cast(spark)).cast(spark)
     else:
         raise SchemaError(f"no cast from {x.type} to {to}")
     return join(to, value, x, failed=given(x) & value.isNull(), code="cast_failed", operation=to)

@@ -488,3 +488,31 @@ def test_xml_is_strict_and_typed(spark):
     strict, loose = (codecs.decode_xml(df, "raw", schema(a="U8", s="STRING?"), strict=s) for s in (True, False))
     assert sorted((r.a, r.s) for r in strict.rows.select("a", "s").collect()) == [(1, "x"), (2, "<b>")] and strict.errors.count() == 7
     assert loose.rows.count() == 3
+
+
+def largest_method(df):
+    """Bytecodes of the longest method that Spark generates for a query; the JVM compiles none beyond 8,000."""
+    code = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(code.apply(k)._3().maxMethodCodeSize() for k in range(code.size()))
+
+
+def test_nested_floats_write_their_operands_once(spark):
+    """Size is linear in depth, and ordered assignments over floats are compiled by the JVM."""
+    deep = field("x", "F64")
+    for _ in range(10):
+        deep = deep * lit(0.5) + lit(1.0)
+    assert str(deep.value).count("inf") <= 2 * 10
+    assert largest_method(catalogue.ordered_set(spark, "/root/testdata/sf0.001")) < 8000
+
+
+@pytest.mark.parametrize("kind", T.FLOATS)
+def test_floats_stay_finite_and_exact(spark, kind):
+    least, most = {"F64": (5e-324, 1.7976931348623157e308), "F32": (1.401298464324817e-45, 3.4028234663852886e38)}[kind]
+    good = [0.0, -0.0, least, -least, most, -most, 1.5, -2.25]
+    df = spark.createDataFrame([(v,) for v in [*good, math.inf, -math.inf, math.nan, None]], "x double").select(F.col("x").cast(T.spark(kind)).alias("x"))
+    e = field("x", kind) * lit(1.0, kind)
+    assert dict(df.select(e.value.alias("v")).dtypes)["v"] == T.spark(kind)
+    got = [(r.v, [x.code for x in r.e]) for r in df.select(e.value.alias("v"), e.errors().alias("e")).collect()]
+    assert [(v, math.copysign(1, v)) for v, _ in got[: len(good)]] == [(v, math.copysign(1, v)) for v in good] and not any(errors for _, errors in got[: len(good)])
+    assert got[len(good) :] == [(None, ["invalid_argument"])] * 3 + [(None, [])]
+    assert value(spark, lit(most, kind) * lit(2.0, kind)).v is None
