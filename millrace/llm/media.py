@@ -1,7 +1,8 @@
-"""Telephony audio: WAV containers with mu-law, A-law or IMA ADPCM samples, decoded by lookup tables and stored with resampled PCM.
+"""Telephony audio: WAV containers with mu-law, A-law or IMA ADPCM samples, decoded by lookup tables and resampled to PCM.
 
-store() writes, for each row, the payload as a WAV file and that file's sound as 16-bit PCM at pcm_rate, both as
-binary columns of a table in the shared folder, and reads them back. The sound keeps the whole telephony band: PCM at 8 kHz. Mu-law and A-law are one byte a sample and
+store() writes, for each row, the payload as a WAV file in a binary column of a table in the shared folder, reads it back and gives beside it
+that file's sound as 16-bit PCM at pcm_rate. The sound follows from the stored file, so that it takes no disk of its own: it is decoded where
+it is read, every sample of it. Mu-law and A-law are one byte a sample and
 expand by a 256-entry table; IMA ADPCM holds 128 nibbles in each 68-byte block (4-byte header) and is decoded step by
 step across all blocks at once. Every byte of a payload is a sample (or two nibbles), so that it comes back unchanged.
 
@@ -166,7 +167,7 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id", rate: int = 8000, pcm_rate: int = 8000) -> DataFrame:
-    """Write key, n_bytes, media (the WAV file) and pcm (a WAV file of its sound), and read them back.
+    """Write key, n_bytes and media (the WAV file), read them back and add pcm (a WAV file of the stored one's sound).
 
     The codec of a row follows from its payload's checksum, so that equal texts give equal files."""
 
@@ -175,12 +176,25 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id", rate: int =
             payloads = [padded(t) for t in texts(batch.column(1))]
             sizes = [n for _, n in payloads]
             media = [encode(p, CODECS[zlib.crc32(p) % 3], rate) for p, _ in payloads]
-            sound = [wav(resample(*heard, pcm_rate).astype("<i2").tobytes(), PCM, pcm_rate, 2, 16, samples=1) for heard in decode_all(media)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(sound, pa.binary())], [key, "n_bytes", "media", "pcm"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
         return step
 
-    return stored(map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, n_bytes long, media binary, pcm binary", make), "media")
+    return heard(stored(map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, n_bytes long, media binary", make), "media"), key, pcm_rate)
+
+
+def heard(files: DataFrame, key: str = "doc_id", pcm_rate: int = 8000) -> DataFrame:
+    """key, n_bytes and media of stored files, and pcm: a WAV file of each one's sound at pcm_rate."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sounds = decode_all(batch.column(2).to_pylist())
+            pcm = [wav(resample(*sound, pcm_rate).astype("<i2").tobytes(), PCM, pcm_rate, 2, 16, samples=1) for sound in sounds]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pcm, pa.binary())], [key, "n_bytes", "media", "pcm"])
+
+        return step
+
+    return map_rows(files.select(key, "n_bytes", "media"), f"{key} {dict(files.dtypes)[key]}, n_bytes long, media binary, pcm binary", make)
 
 
 def describe(stored_media: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -209,6 +209,14 @@ def test_stored_sound_keeps_the_telephony_band(spark):
     assert np.array_equal(media.resample(tone, 8000, inspect.signature(media.store).parameters["pcm_rate"].default), tone)
 
 
+def test_sound_takes_no_disk_of_its_own(spark):
+    """Stored is the file only; the sound is decoded from it where it is read."""
+    df = spark.createDataFrame([(1, "a text " * 100), (2, None)], "doc_id long, text string")
+    sound = media.store(df)
+    assert spark.read.parquet(*sound.inputFiles()).columns == ["doc_id", "n_bytes", "media"]
+    assert sound.columns == ["doc_id", "n_bytes", "media", "pcm"] and sound.filter("pcm IS NULL").count() == 0
+
+
 def test_law_tables():
     assert media.TABLES[media.MULAW][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert media.TABLES[media.ALAW][[0, 85, 213, 128]].tolist() == [-5504, -8, 8, 5504]
