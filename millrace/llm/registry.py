@@ -32,7 +32,7 @@ def op1_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store(read(spark, sf_dir, "documents")))
+    return media.describe(media.store(read(spark, sf_dir, "documents"), pcm_rate=16000))
 
 
 @query

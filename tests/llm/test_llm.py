@@ -217,6 +217,30 @@ def test_sound_takes_no_disk_of_its_own(spark):
     assert sound.columns == ["doc_id", "n_bytes", "media", "pcm"] and sound.filter("pcm IS NULL").count() == 0
 
 
+def test_resampling_shows_in_the_query(spark):
+    """The registered query's features are those of sound at another rate than the file's."""
+    got = {r.doc_id: r.feature for r in registry.op2_media(spark, SF).collect()}
+    assert all(" 8000 Hz; pcm 16000 Hz, " in f for f in got.values())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = {r.doc_id: r.feature for r in media.describe(media.store(docs)).collect()}
+    assert plain.keys() == got.keys() and all(plain[k].split("rms")[1] != f.split("rms")[1] for k, f in got.items())
+
+
+@pytest.mark.parametrize("hertz", [300, 1000, 3000])
+def test_tones_keep_their_shape_at_twice_the_rate(hertz):
+    tone = lambda rate: 12000 * np.sin(2 * np.pi * hertz * np.arange(rate) / rate)
+    low, inner = np.round(tone(8000)).astype(np.int16), slice(64, -64)
+    high = media.resample(low, 8000, 16000)
+    assert np.array_equal(high[::2], low) and np.abs(high - tone(16000))[inner].max() < 5
+    assert np.array_equal(media.raised(low, 3, at_once=7), media.raised(low, 3))
+
+
+def test_resampled_peaks_are_clipped_and_silence_is_kept():
+    loud = np.repeat(np.array([32767, -32768, 32767], np.int16), 40)
+    assert (media.resample(loud, 8000, 16000)[20:40] > 30000).all()
+    assert set(media.resample(np.full(50, -32124, np.int16), 8000, 24000)) == {-32124} and media.resample(np.array([7], np.int16), 8000, 16000).tolist() == [7, 7]
+
+
 def test_law_tables():
     assert media.TABLES[media.MULAW][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert media.TABLES[media.ALAW][[0, 85, 213, 128]].tolist() == [-5504, -8, 8, 5504]
