@@ -442,18 +442,28 @@ def if_(test: Expr, yes: Expr, no: Expr | None = None) -> Expr:
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What make gives for a value that is written, and computed, once however often make uses it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def plain_number(x: Column) -> Column:
     """A float's shortest digits without exponent and without a zero fraction."""
-    text = x.cast("string")
-    sign, size = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(text, F.lit("-"))
-    mantissa, power = F.split_part(size, F.lit("E"), F.lit(1)), F.split_part(size, F.lit("E"), F.lit(2)).try_cast("int")
-    whole = F.regexp_replace(mantissa, r"\.0$", "")
-    digits = F.replace(whole, F.lit("."), F.lit(""))
-    below = F.concat(F.lit("0."), F.call_function("repeat", F.lit("0"), -power - 1), digits)
-    at = F.greatest(power + 1, F.char_length(digits))
-    filled = F.rpad(digits, at, F.lit("0"))
-    above = F.concat(F.substring(filled, F.lit(1), power + 1), F.when(at > power + 1, F.concat(F.lit("."), F.substring(filled, power + 2, at))).otherwise(""))
-    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, F.when(power.isNull(), whole).when(power < 0, below).otherwise(above)))
+
+    def spread(v: Column) -> Column:
+        digits, power = v["digits"], v["power"]
+        below = F.concat(F.lit("0."), F.call_function("repeat", F.lit("0"), -power - 1), digits)
+        above = F.concat(F.rpad(digits, power + 1, F.lit("0")), F.when(F.char_length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.char_length(digits)))).otherwise(""))
+        return F.when(power < 0, below).otherwise(above)
+
+    def written(text: Column) -> Column:
+        digits = F.rtrim(F.translate(F.substring_index(text, "E", 1), "-.", ""), F.lit("0"))
+        parts = F.struct(digits.alias("digits"), F.substring_index(text, "E", -1).try_cast("int").alias("power"))
+        large = F.concat(F.when(text.startswith("-"), "-").otherwise(""), once(parts, spread))
+        whole = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.char_length(text) - 2)).otherwise(text)
+        return F.when(text.contains("E"), large).when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).otherwise(whole)
+
+    return once(x.cast("string"), written)
 
 
 def cast(x: Expr, to: str) -> Expr:
@@ -474,9 +484,9 @@ def cast(x: Expr, to: str) -> Expr:
         elif to == "BOOL":
             value = F.when(a.isin("true", "false"), a == "true")
         elif to in INT:
-            value = within(F.when(a.rlike(r"^[+-]?\d{1,20}$"), a).try_cast("decimal(38,0)"), to)
+            value = within(F.regexp_extract(a, r"^[+-]?\d{1,20}$", 0).try_cast("decimal(38,0)"), to)
         else:
-            value = finite(F.when(a.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), a).try_cast("double").cast(spark)).cast(spark)
+            value = finite(F.regexp_extract(a, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", 0).try_cast("double").cast(spark)).cast(spark)
     elif x.type in T.FLOATS and to in INT:
         size = F.abs(a.cast("double"))
         high = F.floor(size / 2.0**32)  # exact, as is the rest: no digit is lost on the way through decimals

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import time
 from collections import OrderedDict
 
@@ -516,3 +517,24 @@ def test_floats_stay_finite_and_exact(spark, kind):
     assert [(v, math.copysign(1, v)) for v, _ in got[: len(good)]] == [(v, math.copysign(1, v)) for v in good] and not any(errors for _, errors in got[: len(good)])
     assert got[len(good) :] == [(None, ["invalid_argument"])] * 3 + [(None, [])]
     assert value(spark, lit(most, kind) * lit(2.0, kind)).v is None
+
+
+def test_texts_of_floats_are_written_once(spark):
+    """Casts between floats and texts stay short enough for the JVM to compile, and name their operand once."""
+    assert largest_method(catalogue.fn_cast_float_text(spark, "/root/testdata/sf0.001")) < 8000
+    assert str(cast(cast(field("operand", "F64"), "STRING"), "F64").value).count("operand") == 1
+    assert largest_method(spark.range(3).select(cast(cast(cast(cast(field("id", "I64"), "F64"), "STRING"), "F64"), "STRING").value)) < 8000
+
+
+def test_texts_of_floats_have_no_exponent(spark):
+    good = [0.0, -0.0, 1.0, -1.0, 0.001, -0.00099, 9999999.0, 1e7, -1e7, 12345678.9, -12345678.25, 1e22, 1.5e300, -5e-324, 1.7976931348623157e308, 2.0**53, 1234567.0]
+    rng = np.random.default_rng(5)
+    good += (rng.integers(-(10**6), 10**6, 300) * 10.0 ** rng.integers(-12, 25, 300)).tolist()
+    df = spark.createDataFrame([(v,) for v in [*good, math.inf, -math.inf, math.nan, None]], "x double")
+    text = cast(field("x", "F64"), "STRING")
+    back = cast(text, "F64")
+    got = df.select(text.value.alias("t"), back.value.alias("b"), back.errors().alias("e")).collect()
+    assert [float(r.t) for r in got[: len(good)]] == good and [r.b for r in got[: len(good)]] == good
+    for v, r in zip(good, got, strict=False):
+        assert re.fullmatch(r"-?(0|[1-9]\d*)(\.\d*[1-9])?", r.t) and r.t.startswith("-") == (math.copysign(1, v) < 0) and r.e == []
+    assert [(r.t, r.b, [x.code for x in r.e]) for r in got[len(good) :]] == [("inf", None, ["cast_failed"]), ("-inf", None, ["cast_failed"]), ("NaN", None, ["cast_failed"]), (None, None, [])]
